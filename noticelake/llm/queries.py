@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flatfile, merkle, mixing, packing, simhash, topk, warc
+from . import flatfile, htmltext, merkle, mixing, packing, simhash, substring, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.where("last").select(F.col("id").alias("page_id"), "payload_bytes", F.col("running_digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon, coefficients = toxicity.model(docs, _table(spark, sf_dir, "labels"))
+    rows = toxicity.score(docs, lexicon, coefficients)
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def tree() -> dict:
     """The levels of the mixing tree.  The tables have no domain: sources whose
     number ends in the same digit stand for one."""
@@ -47,6 +54,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"), "epoch")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents"), 20, digest=True)
+
+
 def cluster_of(text) -> object:
     """The duplicate cluster of a text: equal words, case folded."""
     return F.xxhash64(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "))
@@ -73,7 +88,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_simhash, op2_warc, op4_mixing, op7_packing, op8_fingerprints, op9_token_files, op10_topk]
+    found = [op1_simhash, op2_warc, op3_toxicity, op4_mixing, op5_html, op6_substring, op7_packing, op8_fingerprints, op9_token_files, op10_topk]
     return {f.__name__: f for f in found}
 
 
@@ -149,6 +164,27 @@ doc AS (
 SELECT doc_id, domain, lang, source, unnest(range(1, t::BIGINT + 1))::INTEGER AS epoch FROM times
 """
 
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents
+), k AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20
+), h AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS h FROM k
+), r AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM h) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(20)) AS p FROM r
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP10 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
@@ -167,4 +203,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op4_mixing": OP4, "op10_topk": OP10}
+    return {"op2_warc": OP2, "op4_mixing": OP4, "op6_substring": OP6, "op10_topk": OP10}

@@ -14,6 +14,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Shuffle files go once the table that they were for is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one is set if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,7 +40,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
