@@ -20,7 +20,7 @@ Defined results: a null or blank text has no tokens, and such documents are
 taken where their turn comes before the budget's end; null tree columns count
 as empty strings; a null id is ordered by the empty string; rows that repeat an
 id have one place in the order and are taken together.  A weight of zero, or of
-a name not listed where others are, keeps a branch out.  Budgets are rounded
+a name not listed where others are (and no ``*``), keeps a branch out.  Budgets are rounded
 down to tokens at every node.  An empty table gives no rows.  Columns that are
 not used are passed through.
 """
@@ -47,7 +47,7 @@ def _weight(name: str, given: Mapping[str, int] | None) -> Column:
     if not given:
         return F.lit(1).cast("long")
     pairs = [x for k, v in given.items() for x in (F.lit(k), F.lit(int(v)).cast("long"))]
-    return F.coalesce(F.create_map(*pairs)[F.col(name)], F.lit(0).cast("long"))
+    return F.coalesce(F.create_map(*pairs)[F.col(name)], F.lit(given.get("*", 0)).cast("long"))
 
 
 def share(children: DataFrame, parent: Sequence[str], name: str) -> DataFrame:

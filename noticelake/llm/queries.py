@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.components(_table(spark, sf_dir, "documents"), n=4, max_bits=4)
+    return simhash.components(_table(spark, sf_dir, "documents"), n=4, max_bits=4, mins=0)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ from .store import forget, keep
 
 PIECE = 1 << 20  # bytes of a text that are split into words at a time
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+ODD = np.random.default_rng(7).integers(1, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(raw: bytes, n: int) -> Iterator[list[bytes]]:
@@ -62,29 +63,42 @@ def shingles(raw: bytes, n: int) -> Iterator[list[bytes]]:
         yield [b" ".join(before)]
 
 
-def fingerprint(raw: bytes | None, n: int) -> int:
-    """64 bits; each is 1 if it is set in over half of the shingles' XXH64."""
+def sketch(raw: bytes | None, n: int, mins: int = 0) -> tuple[int, list[int]]:
+    """The fingerprint of a text, each of whose 64 bits is 1 if it is set in over
+    half of the shingles' XXH64, and ``mins`` least values of scrambled hashes
+    (none for a text without words)."""
     ones, total, digest = np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest
+    least = np.full(mins, np.iinfo(np.uint64).max, np.uint64)
     for part in shingles(raw or b"", n):
         hashes = np.fromiter((digest(s, 42) for s in part), np.dtype(">u8"), len(part))
         for k in range(0, len(part), 1 << 14):
-            rows = hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+            block = hashes[k : k + (1 << 14)]
+            ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            native = block.astype(np.uint64)
+            for m in range(mins):
+                mixed = (native ^ (native >> np.uint64(29 + m))) * ODD[m]
+                least[m] = min(least[m], (mixed ^ (mixed >> np.uint64(32))).min())
         total += len(part)
-    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big"), least.view(np.int64).tolist() if total else []
+
+
+def fingerprint(raw: bytes | None, n: int) -> int:
+    """The fingerprint of one text."""
+    return sketch(raw, n)[0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
-    """``id_col`` and ``fp``, the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, mins: int = 0) -> DataFrame:
+    """``id_col``, ``fp`` (the fingerprint as a signed 64-bit number) and the
+    ``mins`` least shingle hashes."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            found = np.fromiter((fingerprint(x.as_py(), n) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = [sketch(x.as_py(), n, mins) for x in batch.column(1).cast(pa.binary())]
+            fps = np.fromiter((f for f, _ in found), np.uint64, len(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array([m for _, m in found], pa.list_(pa.int64()))], ["id", "fp", "mins"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, fp long, mins array<long>").withColumnRenamed("id", id_col)
 
 
 # ---------------------------------------------------------------- trie join
@@ -189,19 +203,27 @@ def blocks(distinct: int, budget: int, target: int = 256) -> tuple[int, list[int
     return agree, [sum(part[k] for k in pick) for pick in combinations(range(count), agree)]
 
 
-def links(nodes: DataFrame, max_bits: int = 4, shard_limit: int = 8192) -> DataFrame:
+def links(marked: DataFrame, max_bits: int = 4, by_mins: bool = False, shard_limit: int = 8192) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints (column ``fp``).
 
-    They join exactly the pairs within ``max_bits`` bits: as a spanning forest
-    of every shard, not as all pairs.
+    They join exactly the pairs within ``max_bits`` bits, or with ``by_mins``
+    those of them that share one of their ``mins`` (column of that name, whose
+    values are the shards then): as a spanning forest of every shard, not as all
+    pairs.
     """
     if not 0 <= max_bits < 64:
         raise ValueError("max_bits must be from 0 to 63")
-    distinct = nodes.count()
-    _, masks = blocks(max(distinct, 1), max_bits)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("trie", "mask"))
-    keyed = keyed.select("fp", "trie", F.col("mask").bitwiseAND(F.col("fp")).alias("key"))
+    if by_mins:
+        keyed = marked.select("fp", F.posexplode("mins").alias("trie", "key")).distinct()
+        rows = marked.count() * 8
+    else:
+        nodes = marked.select("fp").distinct()
+        rows = nodes.count()
+        _, masks = blocks(max(rows, 1), max_bits)
+        rows *= len(masks)
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("trie", "mask"))
+        keyed = keyed.select("fp", "trie", F.col("mask").bitwiseAND(F.col("fp")).alias("key"))
     sizes = keyed.groupBy("trie", "key").count().where("count > 1")
     sizes = sizes.select("trie", "key", F.ceil(F.col("count") / F.lit(shard_limit)).cast("int").alias("chunks"))
     keyed = keyed.join(sizes, ["trie", "key"])
@@ -232,7 +254,7 @@ def links(nodes: DataFrame, max_bits: int = 4, shard_limit: int = 8192) -> DataF
         if rows:
             yield solve(pa.Table.from_batches(held))
 
-    parts = max(dealt.sparkSession.sparkContext.defaultParallelism, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct * len(masks) / 500_000))
+    parts = max(dealt.sparkSession.sparkContext.defaultParallelism, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 500_000))
     dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -267,12 +289,19 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, max_bits: int = 4) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, max_bits: int = 12, mins: int = 8) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``fingerprint`` (16 hex digits)
-    and ``component_id``, the smallest id that links lead to, its own included."""
-    marked = keep(fingerprints(docs, id_col, text_col, n), "fingerprints").withColumnRenamed(id_col, "id")
+    and ``component_id``, the smallest id that links lead to, its own included.
+
+    By default texts are linked whose fingerprints agree in four fifths of their
+    bits and which share one of ``mins`` least shingle hashes: that keeps chance
+    agreement out, and texts that share four fifths of their shingles miss each
+    other there with a probability of 0.2 to the power ``mins``.  With ``mins``
+    of 0 the fingerprints alone decide.
+    """
+    marked = keep(fingerprints(docs, id_col, text_col, n, mins), "fingerprints").withColumnRenamed(id_col, "id")
     nodes = keep(marked.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    roots = connected(links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+    roots = connected(links(marked if mins else nodes, max_bits, bool(mins))).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = keep(named.join(least, "root").select("fp", "component_id"), "named")
