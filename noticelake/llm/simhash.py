@@ -225,7 +225,8 @@ def links(marked: DataFrame, max_bits: int = 4, by_mins: bool = False, shard_lim
         keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("trie", "mask"))
         keyed = keyed.select("fp", "trie", F.col("mask").bitwiseAND(F.col("fp")).alias("key"))
     sizes = keyed.groupBy("trie", "key").count().where("count > 1")
-    sizes = sizes.select("trie", "key", F.ceil(F.col("count") / F.lit(shard_limit)).cast("int").alias("chunks"))
+    # kept, so that the join has a shuffle of its own on this side and a hot shard's rows can be split
+    sizes = keep(sizes.select("trie", "key", F.ceil(F.col("count") / F.lit(shard_limit)).cast("int").alias("chunks")), "shards")
     keyed = keyed.join(sizes, ["trie", "key"])
     own = F.pmod(F.xxhash64("fp", "trie"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own"))))
@@ -276,12 +277,15 @@ def connected(edges: DataFrame) -> DataFrame:
     was = state(edges)
     while was[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = keep(large, "large")
+        forget(least)
+        least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         small = keep(small.select("e.a", "e.b").where("a != b").distinct(), "edges")
-        forget(edges)
+        for old in (edges, large, least):
+            forget(old)
         edges, now = small, state(small)
         if now == was:
             break

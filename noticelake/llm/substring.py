@@ -288,7 +288,8 @@ def removals(rows: DataFrame, length: int = 20, hot: int = 2000) -> DataFrame:
     if not GRAM < length <= GRAM + 62:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 62} words")
     found = anchors(rows, length)
-    repeated = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # kept, so that the join has a shuffle of its own on this side and a hot anchor's rows can be split
+    repeated = keep(found.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated")
     segs = keep(found.join(repeated, "anchor"), "segments")
     by_text = segs.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "windows", "anchor")).alias("segs"))
     cut = rows.join(by_text, ["doc", "mark"]).select("doc", "mark", "t", "segs")
