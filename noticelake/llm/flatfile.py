@@ -15,7 +15,9 @@ are not used.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import uuid
 import zlib
 
@@ -41,6 +43,49 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int = SH
     return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "t")
 
 
+CACHE = 500_000  # pieces whose ids are held
+_PIECE = re.compile(r" ?\S+|\s")
+_WHOLE = re.compile(r"\s\s|[\x1c-\x1f]")
+
+
+class Encoder:
+    """Ids of texts as bytes, with the ids of recurring pieces held.
+
+    Byte-level BPE never joins what its pattern keeps apart, and that cuts every
+    text before a single space or other white space that follows a word.  So a
+    text without double white space is the sum of such pieces, each of which the
+    library encodes once.  All other texts are encoded whole.
+    """
+
+    def __init__(self, model, kind: np.dtype, by_piece: bool):
+        self.model, self.kind, self.by_piece = model, kind, by_piece
+        self.held: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        parts = [_PIECE.findall(t) if self.by_piece and not _WHOLE.search(t) else None for t in texts]
+        if len(self.held) > CACHE:
+            self.held.clear()
+        new = list({p for x in parts if x for p in x if p not in self.held})
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            self.held.update(zip(some, self._encode(some), strict=True))
+        whole = iter(self._encode([t for t, x in zip(texts, parts, strict=True) if x is None]))
+        get = self.held.__getitem__
+        return [next(whole) if x is None else b"".join(map(get, x)) for x in parts]
+
+
+def cuts_at_spaces(tokenizer: str) -> bool:
+    """Whether a tokenizer file is byte-level BPE with the common pattern, no
+    normaliser and no space put before a text."""
+    with open(tokenizer, encoding="utf-8") as f:
+        rules = json.load(f)
+    steps = rules.get("pre_tokenizer") or {}
+    return rules["model"]["type"] == "BPE" and not rules.get("normalizer") and steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space") and steps.get("use_regex", True)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text with the tokenizer file and write the shards; returns
     the manifest ``part, file, docs, tokens`` of the shards whose task ended
@@ -55,6 +100,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
         model = Tokenizer.from_file(tokenizer)
         model.encode_special_tokens = True  # a special token's string in a text is ordinary text
         kind = np.dtype("<u2") if max(model.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else np.dtype("<u4")
+        encode, end = Encoder(model, kind, cuts_at_spaces(tokenizer)), np.array([end_id], kind).tobytes()
         context, fs, path = TaskContext.get(), *filesystem(folder)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         outs, docs_done, at = None, 0, 0
@@ -64,10 +110,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
                 outs = [fs.open_output_stream(f"{path}/{name}.{x}", compression=None) for x in ("ids", "off", "doc")]
             ids, texts = batch.column(0), batch.column(1)
             for k in range(0, batch.num_rows, 256):
-                found = model.encode_batch_fast(texts.slice(k, 256).to_pylist(), add_special_tokens=False)
-                lengths = np.fromiter((len(x) + 1 for x in found), np.int64, len(found))
-                for x in found:
-                    outs[0].write(np.array([*x.ids, end_id], kind).tobytes())
+                found = encode(texts.slice(k, 256).to_pylist())
+                lengths = np.fromiter((len(x) // kind.itemsize + 1 for x in found), np.int64, len(found))
+                outs[0].write(end.join(found) + end)
                 ends = at + np.cumsum(lengths)
                 outs[1].write((ends - lengths).astype("<u8").tobytes())
                 outs[2].write(ids.slice(k, 256).fill_null(NONE).to_numpy().astype("<i8").tobytes())
