@@ -64,14 +64,31 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str], size: int = 256) -> None:
+        """Encode pieces by the line, many at a time: a line end is a piece of its
+        own, and no other piece has its id."""
+        line_end = self.model.encode("\n", add_special_tokens=False).ids if self.by_piece else []
+        if len(line_end) != 1:
+            self.held.update(zip(new, self._encode(new), strict=True))
+            return
+        groups = [new[k : k + size] for k in range(0, len(new), size)]
+        mark, ends = line_end[0], np.array(line_end, self.kind).tobytes()
+        for group, raw in zip(groups, self._encode(["\n".join(g) for g in groups]), strict=True):
+            ids = np.frombuffer(raw + ends, self.kind)
+            stops = np.flatnonzero(ids == mark)
+            starts = np.r_[0, stops[:-1] + 1]
+            width = self.kind.itemsize
+            for piece, a, b in zip(group, (starts * width).tolist(), (stops * width).tolist(), strict=True):
+                self.held[piece] = raw[a:b]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [_PIECE.findall(t) if self.by_piece and not _WHOLE.search(t) else None for t in texts]
         if len(self.held) > CACHE:
             self.held.clear()
         new = list({p for x in parts if x for p in x if p not in self.held})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            self.held.update(zip(some, self._encode(some), strict=True))
+        gaps = [p for p in new if p.isspace()]
+        self.held.update(zip(gaps, self._encode(gaps), strict=True))
+        self._learn([p for p in new if not p.isspace()])
         whole = iter(self._encode([t for t, x in zip(texts, parts, strict=True) if x is None]))
         get = self.held.__getitem__
         return [next(whole) if x is None else b"".join(map(get, x)) for x in parts]
