@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans.queries import ORACLES, QUERIES, Query, q00_new_pages
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = q00_new_pages
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return dict(ORACLES)
