@@ -53,6 +53,7 @@ RAW = frozenset("script style textarea title noembed noframes xmp".split())
 LEFT_OUT = frozenset("head script style noscript template textarea title nav header footer aside form button select option iframe object svg math dialog menu canvas audio video noembed noframes fieldset datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("html body main article".split())
+TEXTUAL = HEADINGS | frozenset("p li dt dd ul ol dl blockquote pre table thead tbody tr td th caption figure figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip status".split())
 NAMES = frozenset("ad ads adv advert advertisement advertising adsense sponsor sponsored banner promo promoted promotion nav navi navigation navbar menu submenu breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside rail comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget widgets toolbar pagination pager login search form hidden copyright disclaimer tags skip".split())
 # An element of the first name ends an open one of the second.
@@ -204,6 +205,9 @@ def tokens(pages: DataFrame) -> DataFrame:
                     if text and free and not left and 2 * linked < len(text):
                         above = path
                         while above:
+                            if above.rpartition("/")[2].partition(".")[0] in TEXTUAL:
+                                above = above.rpartition("/")[0]
+                                continue
                             mass[above] = mass.get(above, 0) + len(text) - linked
                             above = above.rpartition("/")[0]
                 for (path, text), n in count.items():

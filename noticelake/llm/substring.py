@@ -335,10 +335,10 @@ def dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: s
     space after it), or with ``digest`` rows ``id_col, n_words, n_removed,
     kept_sha256`` (of the kept words joined by one space) instead."""
     rows = _keyed(docs, id_col, text_col)
-    lost = removals(rows, length, hot).withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
+    lost = removals(rows, length, hot).withColumnsRenamed({"doc": "__doc", "mark": "__mark", "segs": "__segs"})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))), "_mark": F.xxhash64(text)})
-    joined = named.join(lost, ["_doc", "_mark"], "left").drop("_doc", "_mark")
+    named = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))), "__mark": F.xxhash64(text)})
+    joined = named.join(lost, ["__doc", "__mark"], "left").drop("__doc", "__mark")
 
     def marks(raw: bytes, segs) -> tuple[list[bytes], np.ndarray | None]:
         words = raw.split()
@@ -355,7 +355,7 @@ def dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
     if digest:
-        out = joined.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), "segs")
+        out = joined.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), "__segs")
         return out.mapInArrow(digests, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
     names = docs.columns
@@ -378,4 +378,4 @@ def dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names]).schema
-    return joined.select(*names, "segs").mapInArrow(texts, schema)
+    return joined.select(*names, "__segs").mapInArrow(texts, schema)

@@ -58,7 +58,7 @@ ONE = str.maketrans("l", "i")
 
 _HIDDEN = re.compile("[­​-‏⁠-⁤︀-️﻿]|[̀-ͯ]")
 _STRANGE = re.compile("[ɐ-ʯıͰ-֏]")
-_SIGN = re.compile(r"(?<=[^\W\d_])[0134578@$!|+€£9]+(?=[^\W\d_])|(?<![^\W_])[0134578@$9]+(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0134578$]+(?![^\W_])")
+_SIGN = re.compile(r"(?<=[^\W\d_])[0134578@$!|+€£9]+(?=[^\W\d_])|(?<![^\W_])[0134578@$9]+(?=[^\W\d_])|(?<=[^\W\d_]{2})[0134578$]+(?![^\W_])")
 _GAP = re.compile(r"[\W_]+")
 
 
