@@ -266,7 +266,7 @@ def main_text(html: str | None, fixed: frozenset[int] | set[int], container: str
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col``, ``url_col``, ``text`` and ``n_chars`` for each page."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rules = site_rules(tokens(rows))
+    rules = keep(site_rules(tokens(rows)), "rules")  # kept, so that a large host's pages can be split in the join
     site = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][A-Za-z0-9_+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = rows.withColumn("host", site).join(rules, "host", "left").select("id", "url", "html", "fixed", "container")
 
