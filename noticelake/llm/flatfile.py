@@ -15,8 +15,10 @@ are not used.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
+import os
 import re
 import uuid
 import zlib
@@ -43,7 +45,7 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int = SH
     return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "t")
 
 
-CACHE = 500_000  # pieces whose ids are held
+CACHE = 700_000  # pieces whose ids a worker holds, some 200 bytes each
 _PIECE = re.compile(r" ?\S+|\s")
 _WHOLE = re.compile(r"\s\s|[\x1c-\x1f]")
 
@@ -103,21 +105,26 @@ def cuts_at_spaces(tokenizer: str) -> bool:
     return rules["model"]["type"] == "BPE" and not rules.get("normalizer") and steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space") and steps.get("use_regex", True)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(tokenizer: str, end_id: int) -> Encoder:
+    """The encoder of a worker, which its tasks share with the pieces they met."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer)
+    model.encode_special_tokens = True  # a special token's string in a text is ordinary text
+    small = max(model.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16
+    return Encoder(model, np.dtype("<u2" if small else "<u4"), cuts_at_spaces(tokenizer))
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text with the tokenizer file and write the shards; returns
     the manifest ``part, file, docs, tokens`` of the shards whose task ended
     well, with the full name of each shard's files less the ending."""
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        kind = np.dtype("<u2") if max(model.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else np.dtype("<u4")
-        encode, end = Encoder(model, kind, cuts_at_spaces(tokenizer)), np.array([end_id], kind).tobytes()
+        encode = encoder(tokenizer, end_id)
+        kind, end = encode.kind, np.array([end_id], encode.kind).tobytes()
         context, fs, path = TaskContext.get(), *filesystem(folder)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         outs, docs_done, at = None, 0, 0
