@@ -87,7 +87,7 @@ class Encoder:
         parts = [_PIECE.findall(t) if self.by_piece and not _WHOLE.search(t) else None for t in texts]
         if len(self.held) > CACHE:
             self.held.clear()
-        new = list({p for x in parts if x for p in x if p not in self.held})
+        new = list(set().union(*filter(None, parts)).difference(self.held))
         gaps = [p for p in new if p.isspace()]
         self.held.update(zip(gaps, self._encode(gaps), strict=True))
         self._learn([p for p in new if not p.isspace()])
