@@ -52,7 +52,7 @@ def hits(text: Column, markers: Sequence[str]) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences by CJK and Latin ends, without blank ones."""
     parts = F.split(text, r"[。；;\n]|(?<=[.!?])\s+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def host(url: Column) -> Column:

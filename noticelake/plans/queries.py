@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import logic, text
-from ..operators import notices, rows, state
+from ..operators import eligibility, evidence, notices, rows, state
+from ..sources import frontier, listing
 from ..streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -359,6 +360,20 @@ def q27_alias_any_all(spark, sf_dir):
     return out.select("doc_id", "x.status", "x.hits", (F.col("x.hits") == F.col("x.n")).alias("every"))
 
 
+CHECKED = [
+    (1, "學業平均八十分以上,操行成績 82 分以上。"), (2, "班級排名前 10%;GPA 不得低於 3.2。"), (3, "須繳交推薦信並參加面試。"),
+    (4, "學期平均 85 分、學期平均 85 分。"), (5, "無其他條件"), (6, None),
+]
+
+
+@query("""
+SELECT * FROM (VALUES (1, '操行成績:82'), (2, '排名:10%;GPA:3.2'), (3, '繳交:推薦信;繳交:面試'), (4, '學業成績:85'), (5, ''), (6, '')) t(id, checks)
+""")
+def q28_manual_checks(spark, sf_dir):
+    found = eligibility.manual_checks(F.coalesce("body", F.lit("")))
+    return spark.createDataFrame(CHECKED, "id int, body string").select("id", F.array_join(found, ";").alias("checks"))
+
+
 AXES = {"eligibility": ["eligible", "review", "ineligible", "not_applicable"], "evidence": ["valid_application_detail", "insufficient_evidence", "source_error"], "kind": ["application", "loan", "unknown"], "period": ["open", "expired", "stale_unknown", "deadline_unknown"]}
 
 
@@ -466,6 +481,32 @@ def q38_budget_fold(spark, sf_dir):
     return rows.greedy_budget(c, "conv_id", "turn", "cost", 600)
 
 
+STRONG, WEAK, AGAINST = ["theation", "der die", "de la"], ["the", "und", "les", "los"], ["Licensed", "***"]
+
+
+@query()
+def q39_evidence_compaction(spark, sf_dir):
+    out = evidence.compact(F.col("text"), STRONG, WEAK, AGAINST)
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), out.alias("evidence"))
+    return d.select("doc_id", "n_chars", F.length("evidence").cast("long").alias("kept_chars"), F.sha2("evidence", 256).alias("kept_sha256"))
+
+
+def _anchor_sql(name: str) -> str:
+    return f"CASE WHEN {name} = '' THEN [] WHEN length({name}) <= 8 THEN [{name}] ELSE list_distinct(list_transform(range(1, length({name}) - 2), lambda k: substring({name}, k::INTEGER, 4))) END"
+
+
+@query(rf"""
+WITH b AS (
+  SELECT doc_id, regexp_replace(lower(regexp_extract(text, '^[^\n]*')), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+', '', 'g') AS t,
+    regexp_replace(lower(regexp_replace(text, '^[^\n]*', '')), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+', '', 'g') AS r FROM documents
+), a AS (SELECT doc_id, {_anchor_sql("t")} AS title, {_anchor_sql("r")} AS body FROM b)
+SELECT doc_id, len(title)::INTEGER AS anchors, len(list_intersect(title, body))::INTEGER AS shared FROM a
+""")
+def q40_ngram_anchor_relevance(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", _title().alias("title"), F.regexp_replace("text", r"^[^\n]*", "").alias("body"))
+    return d.select("doc_id", F.size(evidence.anchors(F.col("title"))).alias("anchors"), evidence.shared_anchors(F.col("title"), F.col("body")).alias("shared"))
+
+
 @query("""
 WITH a AS (SELECT DISTINCT doc_id % 10 AS key, sha256(lang) AS hash FROM documents WHERE doc_id % 7 = 0)
 SELECT doc_id, a.hash IS NOT NULL AS hit FROM documents LEFT JOIN a ON a.key = doc_id % 10 AND a.hash = sha256(lang)
@@ -483,6 +524,38 @@ def q42_latest_snapshot(spark, sf_dir):
     return state.latest(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_id"])
 
 
+@query("""
+WITH RECURSIVE l AS (
+  SELECT page_id AS node, page_id * 2 + unnest(range(1, len(regexp_extract_all(html, '<a href="[^"]*">')) + 1)) AS target FROM pages
+), e AS (SELECT node, target FROM l WHERE target IN (SELECT page_id FROM pages)),
+f(node, depth) AS (SELECT min(page_id), 0 FROM pages UNION SELECT e.target, f.depth + 1 FROM f JOIN e ON e.node = f.node WHERE f.depth < 40)
+SELECT node AS page_id, min(depth)::INTEGER AS depth FROM f GROUP BY 1
+""")
+def q43_pagination_frontier(spark, sf_dir):
+    """Link k of a page leads to page 2 * page_id + k; addresses in the tables lead nowhere."""
+    p = _table(spark, sf_dir, "pages")
+    n = F.regexp_count("html", F.lit('<a href="[^"]*">'))
+    links = p.select("page_id", n.alias("n")).where("n > 0").select(F.col("page_id").alias("node"), F.explode(F.sequence(F.lit(1), "n")).alias("k"))
+    links = links.select("node", (F.col("node") * 2 + F.col("k")).alias("target")).join(p.select(F.col("page_id").alias("target")), "target", "left_semi")
+    found = frontier.reach(links, p.agg(F.min("page_id").alias("node")), 40)
+    return found.select(F.col("node").alias("page_id"), "depth")
+
+
+LISTINGS = [
+    (1, "https://a.example/list/", "<table><tr><th>日期</th><th>標題</th></tr><tr><td>2026-7-1</td><td><a href='n/1'>清寒  助學金</a></td></tr><tr><td>n/a</td><td><a href='n/2'>x</a></td></tr><tr><td>2026/07/02</td><td><b><a href='/n/3'>A &amp; B</a></b></td></tr></table>"),
+    (2, "https://b.example/", "<tr><td>2026-02-30</td><td><a href='1'>x</a></td></tr><tr><td>2026-02-28</td><td>no link</td></tr>"),
+    (3, "https://c.example/", "<table><tr><td>2026.1.5</td><td><a href='p'>one</a></td></tr><tr><td>2026.1.6</td><td><a href='p'>two</a></td></tr></table>"),
+    (4, None, None),
+]
+
+
+@query("""
+SELECT * FROM (VALUES (1, '2026-07-01', '清寒 助學金', 'https://a.example/list/n/1'), (1, '2026-07-02', 'A & B', 'https://a.example/n/3'), (3, '2026-01-05', 'one', 'https://c.example/p')) t(id, published, title, url)
+""")
+def q44_listing_rows(spark, sf_dir):
+    return listing.listing_rows(spark.createDataFrame(LISTINGS, "id int, base string, html string"), "html", "base", "id").drop("place")
+
+
 @query("""
 SELECT DISTINCT user_id, event_type FROM events
 """)
@@ -494,6 +567,22 @@ def q45_stream_discover(spark, sf_dir):
     return feeds.available(feeds.discovered_once(feed, ["user_id", "event_type"]), "discover")
 
 
+@query("""
+WITH p AS (SELECT user_id, max(event_id) AS r FROM events WHERE event_type = 'view' GROUP BY 1),
+     c AS (SELECT user_id, max(event_id) AS r FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
+SELECT c.user_id, p.r AS previous, c.r AS current, CASE WHEN p.r IS NULL THEN 'baselined' WHEN p.r = c.r THEN 'unchanged' ELSE 'changed' END AS status
+FROM c LEFT JOIN p USING (user_id)
+""")
+def q46_stream_revision(spark, sf_dir):
+    """Two runs over the feed; the second starts from the first one's snapshot."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    feed = lambda kinds: spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").where(F.col("event_type").isin(*kinds))
+    _, snapshot = feeds.revisions(feed(["view"]), "user_id", "event_id")
+    changes, _ = feeds.revisions(feed(["view", "click"]), "user_id", "event_id", snapshot)
+    return changes.drop("batch")
+
+
 @query("""
 SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase,
   count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'view') AS "view" FROM events GROUP BY 1
@@ -513,6 +602,24 @@ def q48_dimension_resolve(spark, sf_dir):
     return _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(n, "s_nationkey", "left").join(r, "r_regionkey", "left").select("s_suppkey", "n_name", "r_name")
 
 
+STUDENT = eligibility.Profile({"program": "進修部", "degree": "大專學士", "year": "二年級"}, (), "新北市", 88.5)
+NOTICES = [
+    (1, "本獎學金申請對象限日間部同學。"), (2, "對象為日間部與進修部之大學部同學,均可申請。"), (3, "申請資格限碩士、博士班同學。"),
+    (4, "大專院校同學皆可申請,清寒者優先。"), (5, "大學生申請,申請對象限低收入戶。"), (6, "大專同學學業成績達 80 分。"), (7, "學業成績達 97 分。"),
+    (8, "大專同學且設籍於新北市者。"), (9, "大專同學且設籍於台中市者。"), (10, "大專同學,條件詳見附件。"), (11, "大學生累積平均 90 分以上。"), (12, None),
+]
+
+
+@query("""
+SELECT * FROM (VALUES (1, 'ineligible', '限日間部', '', ''), (2, 'eligible', '', '', ''), (3, 'ineligible', '限研究所', '', ''), (4, 'eligible', '', '', ''), (5, 'ineligible', '限低收入戶', '', ''),
+  (6, 'eligible', '', '', '學業成績:80'), (7, 'review', '', '', '學業成績:97'), (8, 'eligible', '', '', ''), (9, 'ineligible', '戶籍臺中市', '', ''), (10, 'review', '', '詳見附件', ''),
+  (11, 'ineligible', '平均90', '', ''), (12, 'review', '', '', '')) t(id, decision, exclusions, unknowns, checks)
+""")
+def q49_eligibility(spark, sf_dir):
+    e = spark.createDataFrame(NOTICES, "id int, body string").select("id", eligibility.evaluate(F.col("body"), STUDENT).alias("e"))
+    return e.select("id", "e.decision", *[F.array_join(f"e.{c}", ";").alias(c) for c in ("exclusions", "unknowns", "checks")])
+
+
 @query(r"""
 WITH u AS (
   SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS site, regexp_extract(url, '^[^?#]*') AS address, html FROM pages

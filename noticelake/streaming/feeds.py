@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import state
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -16,8 +19,8 @@ def folder(spark: SparkSession, name: str) -> str:
 def available(feed: DataFrame, name: str) -> DataFrame:
     """Run a streaming plan over what its source has now; the table it wrote."""
     spark = feed.sparkSession
-    out, state = folder(spark, name), folder(spark, f"{name}-state")
-    query = feed.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    out, point = folder(spark, name), folder(spark, f"{name}-state")
+    query = feed.writeStream.format("parquet").option("path", out).option("checkpointLocation", point).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(feed.schema).parquet(out)
 
@@ -25,3 +28,36 @@ def available(feed: DataFrame, name: str) -> DataFrame:
 def discovered_once(feed: DataFrame, keys: list[str]) -> DataFrame:
     """Each key once, whenever it is first seen."""
     return feed.select(*keys).dropDuplicates(keys)
+
+
+def revisions(feed: DataFrame, key: str, revision: str, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Changes and the snapshot after a feed of revisions.
+
+    Each batch is combined to the last revision of a key, compared with the
+    snapshot before it, and writes its changes and the next snapshot under its
+    number; a batch that is run again overwrites its own tables alone.  A later
+    run takes the snapshot as ``previous``."""
+    spark = feed.sparkSession
+    base, point = folder(spark, "revisions"), folder(spark, "revisions-state")
+    fields = feed.select(key, revision).schema
+    start = previous.select(key, revision) if previous is not None else spark.createDataFrame([], fields)
+
+    def before(n: int) -> DataFrame:
+        return spark.read.schema(fields).parquet(f"{base}/snapshot/{n - 1}") if n else start
+
+    done = [-1]
+
+    def merge(batch: DataFrame, n: int) -> None:
+        old = before(n)
+        new = batch.groupBy(key).agg(F.max(revision).alias(revision))
+        known = old.join(new.select(key), key, "left_semi")
+        state.observe(known, new, key, revision).write.mode("overwrite").parquet(f"{base}/changes/batch={n}")
+        latest = old.unionByName(new.select(key, revision)).groupBy(key).agg(F.max(revision).alias(revision))
+        latest.write.mode("overwrite").parquet(f"{base}/snapshot/{n}")
+        done.append(n)
+
+    query = feed.select(key, revision).writeStream.foreachBatch(merge).option("checkpointLocation", point).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if max(done) < 0:
+        return state.observe(start.limit(0), start.limit(0), key, revision).withColumn("batch", F.lit(0)), start
+    return spark.read.parquet(f"{base}/changes"), before(max(done) + 1)
