@@ -1,8 +1,17 @@
-"""SimHash near-duplicate groups by a self-join of binary tries.
+"""Near-duplicate groups by SimHash or by the exact likeness of shingle sets.
 
-``fingerprints`` gives each text a 64-bit SimHash.  ``components`` links the
-fingerprints that differ in at most ``max_bits`` bits and returns the connected
-groups.
+``fingerprints`` gives each text a 64-bit SimHash.  ``components`` links texts
+and returns the connected groups.  With least shingle hashes (``mins``), texts
+are linked whose sets of shingles are alike by their exact Jaccard share; without
+them, texts whose fingerprints differ in at most ``max_bits`` bits.
+
+The exact links are found in shards of texts that have a least hash in common,
+one hash after the other.  In a shard one text is held against all others of
+like size at once, until all texts of it are linked or were held against the
+rest; a shard over ``shard_limit`` texts or ``MASS`` shingles is dealt in chunk
+pairs.  Only texts that share a least hash have their shingles written.
+
+The links of fingerprints are found by a self-join of binary tries.
 
 The self-join is the traversal of a binary trie against itself: a node pair
 starts at (root, root), its children are paired, the bits in which the two
@@ -17,7 +26,7 @@ forest of its links, so what is moved grows with the fingerprints and not with
 the square of a group.
 
 Defined results: a null or blank text has fingerprint zero and is linked like
-any other; equal rows have equal results; a null id gets a fingerprint and its
+any other (with ``mins``, to those without words alone); equal rows have equal results; a null id gets a fingerprint and its
 group, whose name is the smallest id in it that is not null (null if none is).
 An empty table gives an empty result.  Other columns are not touched.
 """
@@ -89,16 +98,19 @@ def fingerprint(raw: bytes | None, n: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, mins: int = 0) -> DataFrame:
     """``id_col``, ``fp`` (the fingerprint as a signed 64-bit number) and the
-    ``mins`` least shingle hashes."""
+    ``mins`` least shingle hashes, and ``node``, a digest of the text (0 for one
+    without words)."""
 
     def run(batches):
         for batch in batches:
             found = [sketch(x.as_py(), n, mins) for x in batch.column(1).cast(pa.binary())]
             fps = np.fromiter((f for f, _ in found), np.uint64, len(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array([m for _, m in found], pa.list_(pa.int64()))], ["id", "fp", "mins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array([m for _, m in found], pa.list_(pa.int64())), batch.column(2)], ["id", "fp", "mins", "node"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, fp long, mins array<long>").withColumnRenamed("id", id_col)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("node"))
+    out = rows.mapInArrow(run, "id long, fp long, mins array<long>, node long").withColumnRenamed("id", id_col)
+    return out.withColumn("node", F.when(F.size("mins") > 0, F.col("node")).otherwise(F.lit(0).cast("long"))) if mins else out.drop("node")
 
 
 # ---------------------------------------------------------------- trie join
@@ -203,27 +215,21 @@ def blocks(distinct: int, budget: int, target: int = 256) -> tuple[int, list[int
     return agree, [sum(part[k] for k in pick) for pick in combinations(range(count), agree)]
 
 
-def links(marked: DataFrame, max_bits: int = 4, by_mins: bool = False, shard_limit: int = 8192) -> DataFrame:
+def links(marked: DataFrame, max_bits: int = 4, shard_limit: int = 8192) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints (column ``fp``).
 
-    They join exactly the pairs within ``max_bits`` bits, or with ``by_mins``
-    those of them that share one of their ``mins`` (column of that name, whose
-    values are the shards then): as a spanning forest of every shard, not as all
-    pairs.
+    They join exactly the pairs within ``max_bits`` bits: as a spanning forest of
+    every shard, not as all pairs.
     """
     if not 0 <= max_bits < 64:
         raise ValueError("max_bits must be from 0 to 63")
-    if by_mins:
-        keyed = marked.select("fp", F.posexplode("mins").alias("trie", "key")).distinct()
-        rows = marked.count() * 8
-    else:
-        nodes = marked.select("fp").distinct()
-        rows = nodes.count()
-        _, masks = blocks(max(rows, 1), max_bits)
-        rows *= len(masks)
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-        keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("trie", "mask"))
-        keyed = keyed.select("fp", "trie", F.col("mask").bitwiseAND(F.col("fp")).alias("key"))
+    nodes = marked.select("fp").distinct()
+    rows = nodes.count()
+    _, masks = blocks(max(rows, 1), max_bits)
+    rows *= len(masks)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("trie", "mask"))
+    keyed = keyed.select("fp", "trie", F.col("mask").bitwiseAND(F.col("fp")).alias("key"))
     sizes = keyed.groupBy("trie", "key").count().where("count > 1")
     # kept, so that the join has a shuffle of its own on this side and a hot shard's rows can be split
     sizes = keep(sizes.select("trie", "key", F.ceil(F.col("count") / F.lit(shard_limit)).cast("int").alias("chunks")), "shards")
@@ -260,6 +266,115 @@ def links(marked: DataFrame, max_bits: int = 4, by_mins: bool = False, shard_lim
     return dealt.mapInArrow(run, "a long, b long")
 
 
+# ---------------------------------------------------------------- exact links
+
+
+def alike(sets: list[np.ndarray], share: tuple[int, int] = (4, 5)) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (of different values, none empty)
+    whose Jaccard share is at least ``share``."""
+    by_size = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    sizes = np.array([len(sets[k]) for k in by_size], np.int64)
+    starts = np.r_[0, np.cumsum(sizes)]
+    vocabulary, codes = np.unique(np.concatenate([sets[k] for k in by_size]), return_inverse=True)
+    mark = np.zeros(len(vocabulary), np.int32)
+    group, open_, active, out = np.arange(len(sets)), np.ones(len(sets), bool), np.ones(len(sets), bool), []
+    up, down = share
+    while True:
+        living = np.flatnonzero(np.bincount(group[active], minlength=len(sets)))
+        if len(living) < 2:
+            return out
+        left = np.bincount(group[active & open_], minlength=len(sets))[living]
+        own = living[left.argmin()]  # a small group is done first, so that a large one is seldom gone through
+        if not left.min():
+            active[group == own] = False
+            continue
+        x = int(np.flatnonzero(open_ & (group == own))[0])
+        open_[x] = False
+        lo = int(np.searchsorted(sizes * down, sizes[x] * up))
+        hi = int(np.searchsorted(sizes * up, sizes[x] * down, "right"))
+        mine = codes[starts[x] : starts[x + 1]]
+        mark[mine] = 1
+        shared = np.add.reduceat(mark[codes[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo])
+        mark[mine] = 0
+        near = down * shared.astype(np.int64) >= up * (sizes[lo:hi] + sizes[x] - shared)
+        near &= active[lo:hi] & (group[lo:hi] != own)
+        others, first = np.unique(group[lo:hi][near], return_index=True)
+        ends = np.flatnonzero(near)[first] + lo
+        out += [(by_size[x], by_size[int(y)]) for y in ends]
+        group[np.isin(group, others)] = own
+
+
+#: Shingles of a chunk of a shard.
+MASS = 1 << 22
+
+
+def set_links(marked: DataFrame, texts: DataFrame, n: int, mins: int, share: tuple[int, int] = (4, 5), shard_limit: int = 8192) -> DataFrame:
+    """Links ``a``, ``b`` between texts (``node`` and ``mins`` of ``marked``, ``node``
+    and ``t`` of ``texts``) that share one of their ``mins`` and whose sets of
+    ``n``-word shingles have a Jaccard share of at least ``share``: a spanning
+    forest of every shard."""
+    spark = marked.sparkSession
+    keyed = marked.select("node", F.posexplode("mins").alias("trie", "key")).distinct()
+    many = keep(keyed.groupBy("trie", "key").count().where("count > 1").select("trie", "key"), "many")
+    hot = keep(keyed.join(many, ["trie", "key"]).groupBy("node").agg(F.collect_list(F.struct("trie", "key")).alias("keys")), "hot")
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for x in batch.column(1).cast(pa.binary()):
+                hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for part in shingles(x.as_py(), n) for s in part), np.uint64))
+                found.append(hashes.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(f) // 8 for f in found], pa.int64()), pa.array(found, pa.binary())], ["node", "keys", "size", "shingles"])
+
+    wanted = texts.dropDuplicates(["node"]).join(hot, "node").select("node", "t", "keys")
+    sets = keep(wanted.mapInArrow(run, "node long, keys array<struct<trie:int,key:long>>, size long, shingles binary"), "sets")
+    mass = sets.agg(F.sum("size")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(mass / MASS))
+
+    def solve_all(batches):
+        def solve(table):
+            ids, nodes, held = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_pylist()
+            edge = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)].tolist()
+            pairs = [(nodes[lo + i], nodes[lo + j]) for lo, hi in zip(edge, edge[1:]) for i, j in alike([np.frombuffer(x, np.uint64) for x in held[lo:hi]], share)]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= 1 << 26:  # up to the last shard's start, whose rest may follow
+                table = pa.Table.from_batches(held).combine_chunks()
+                ids = table.column(0).to_numpy()
+                cut = int(np.searchsorted(ids, ids[-1]))
+                if cut:
+                    yield solve(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+                    size = sum(b.nbytes for b in held)
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    found = []
+    for k in range(mins):  # one at a time, so that only one copy of the sets is moved
+        mine = sets.select("node", "size", "shingles", F.explode(F.filter("keys", lambda x: x["trie"] == k)["key"]).alias("key"))
+        sizes = mine.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / F.lit(shard_limit), F.sum("size") / F.lit(MASS))).cast("int").alias("chunks"))
+        # chunks of large shards alone are looked up; a row of any other shard has one
+        sizes = keep(sizes.where("chunks > 1"), "shards")
+        dealt = mine.join(F.broadcast(sizes), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
+        other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own"))))
+        dealt = dealt.withColumn("other", other)
+        shard = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        dealt = dealt.select(shard.alias("shard"), "node", "shingles").repartition(parts, "shard").sortWithinPartitions("shard")
+        found.append(keep(dealt.mapInArrow(solve_all, "a long, b long"), "links"))
+    for old in (many, hot, sets):
+        forget(old)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for each end of the links ``a``, ``b``: groups by their
     smallest node.
@@ -293,21 +408,27 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, max_bits: int = 12, mins: int = 8) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, max_bits: int = 12, mins: int = 8, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``fingerprint`` (16 hex digits)
     and ``component_id``, the smallest id that links lead to, its own included.
 
-    By default texts are linked whose fingerprints agree in four fifths of their
-    bits and which share one of ``mins`` least shingle hashes: that keeps chance
-    agreement out, and texts that share four fifths of their shingles miss each
-    other there with a probability of 0.2 to the power ``mins``.  With ``mins``
-    of 0 the fingerprints alone decide.
+    By default texts are linked whose sets of ``n``-word shingles have a Jaccard
+    share of at least ``share``, taken exactly for those that have one of
+    ``mins`` least shingle hashes in common: texts that share four fifths of
+    their shingles miss each other there with a probability of 0.2 to the power
+    ``mins``.  With ``mins`` of 0 the fingerprints alone decide, by ``max_bits``.
     """
     marked = keep(fingerprints(docs, id_col, text_col, n, mins), "fingerprints").withColumnRenamed(id_col, "id")
-    nodes = keep(marked.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    roots = connected(links(marked if mins else nodes, max_bits, bool(mins))).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    node = "node" if mins else "fp"
+    nodes = keep(marked.groupBy(node).agg(F.min("id").alias("first")), "nodes")
+    if mins:
+        text = F.col(text_col).cast("string")
+        found = set_links(marked, docs.select(F.xxhash64(text).alias("node"), text.alias("t")), n, mins, share)
+    else:
+        found = links(nodes, max_bits)
+    roots = connected(found).withColumnRenamed("node", node)
+    named = nodes.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = keep(named.join(least, "root").select("fp", "component_id"), "named")
-    out = marked.join(named, "fp")
+    named = keep(named.join(least, "root").select(node, "component_id"), "named")
+    out = marked.join(named, node)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
