@@ -62,6 +62,7 @@ def search(ids: np.ndarray, postings: np.ndarray, query_id: int, query: np.ndarr
     least, most = np.minimum(one, two), np.maximum(one, two)
     order = np.argsort(least - most, kind="stable")
     alive, scores, terms = None, np.zeros(len(ids), np.float64), 0
+    scores[ids == query_id] = -np.inf  # however many rows the query's id has, none holds up the floor
     while terms < len(order):
         part = order[terms : terms + step]
         rows = postings[part] if alive is None else postings[np.ix_(part, alive)]
@@ -70,7 +71,7 @@ def search(ids: np.ndarray, postings: np.ndarray, query_id: int, query: np.ndarr
         left = order[terms:]
         if not len(left) or len(scores) <= k:
             continue
-        floor = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1] + least[left].sum()  # one more: the query itself may be there
+        floor = np.partition(scores, len(scores) - k)[len(scores) - k] + least[left].sum()
         keep = scores + most[left].sum() >= floor
         if alive is None:
             if keep.mean() > 0.25:

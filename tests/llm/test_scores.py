@@ -154,3 +154,14 @@ def test_packing(spark):
     long = out[out["doc_id"] == 500].sort_values("start")
     assert long["start"].tolist() == [0, 100, 200, 300] and long["n_tokens"].sum() == 351
     assert packing.pack(docs.limit(0), F.lit(1), F.col("source"), F.lit(1)).count() == 0
+
+
+def test_top_k_of_a_query_id_that_repeats(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-64, 64, (400, 16))
+    hot = vectors[0] * 50
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors) if k] + [(0, hot.tolist())] * 30
+    table = spark.createDataFrame(rows, "id long, v array<long>")
+    got = {(r["rank"], r.vec_id, r.score) for r in topk.top_k(table.where("id = 0").limit(1), table, 20).collect()}
+    order = sorted((-int(hot @ vectors[k]), k) for k in range(1, 400))[:20]
+    assert got == {(n + 1, k, -s) for n, (s, k) in enumerate(order)}
