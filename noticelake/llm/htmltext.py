@@ -9,10 +9,10 @@
    A class is nested in the class of its tokens' parent elements.
 3. The nested classes are the host's template.  Text of the template is what
    the site says on its every page; all else fills slots.
-4. A page's main text is that of the slots below ``article`` or ``main``, or,
-   where a page has none, below the host's container: the deepest element that
-   holds seven tenths of the host's unlinked slot text.  Slots in menus,
-   headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+4. A page's main text is all text below ``article`` or ``main``, or, where a
+   page has none, that of the slots below the host's container: the deepest
+   element that holds seven tenths of the host's unlinked slot text.  Text in
+   menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
    comments, known by element, role, class or id, are left out.
 
 Character references are decoded; white space in a block becomes one space, and
@@ -22,9 +22,9 @@ Defined results: a null or empty page has an empty text; broken markup is read
 as browsers do in the cases that matter here (unclosed paragraphs and items,
 stray ends, raw text up to its end tag or the page's end).  A null or odd URL
 belongs to the host "".  Rows that repeat an id are extracted one by one.  Text
-of the template is left out of the main text only if it stands on nine tenths
-of at least ``LEAST_PAGES`` pages of the host and is short, so an article's
-paragraph that recurs stays.  An empty table gives no rows.
+of the template is left out of a main text outside ``article`` and ``main`` only
+if it stands on nine tenths of at least ``LEAST_PAGES`` different pages of the
+host (equal pages count once) and is short.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -256,18 +256,19 @@ def main_text(html: str | None, fixed: frozenset[int] | set[int], container: str
     """The main text of one page, given its host's template."""
     found = [b for b in blocks(html or "") if b[1]]
     if any(b[3] for b in found):
-        chosen = [b for b in found if b[3] and not b[4]]
-    else:
-        body = [b for b in found if not b[4] and 2 * b[2] <= len(b[1])]
-        chosen = [b for b in body if container and (b[0] == container or b[0].startswith(container + "/"))] or body
+        return " ".join(b[1] for b in found if b[3] and not b[4])
+    body = [b for b in found if not b[4] and 2 * b[2] <= len(b[1])]
+    chosen = [b for b in body if container and (b[0] == container or b[0].startswith(container + "/"))] or body
     return " ".join(b[1] for b in chosen if not (len(b[1]) <= SHORT and _key("t", b[0], b[1]) in fixed))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col``, ``url_col``, ``text`` and ``n_chars`` for each page."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rules = keep(site_rules(tokens(rows)), "rules")  # kept, so that a large host's pages can be split in the join
     site = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][A-Za-z0-9_+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    # a host's copies of a page are one page to its template
+    once = rows.withColumn("host", site).withColumn("copy", F.xxhash64("html")).dropDuplicates(["host", "copy"]).select("id", "url", "html")
+    rules = keep(site_rules(tokens(once)), "rules")  # kept, so that a large host's pages can be split in the join
     joined = rows.withColumn("host", site).join(rules, "host", "left").select("id", "url", "html", "fixed", "container")
 
     def run(batches):

@@ -61,6 +61,14 @@ def test_html(spark):
     assert htmltext.extract(table.limit(0)).count() == 0
 
 
+def test_copies_on_a_host_keep_their_text(spark):
+    inner = "<h1>Same heading</h1><p>Short one.</p><ul><li>item</li></ul><p>Short two.</p>"
+    pages = [(k, f"https://a.example/{k}", f"<html><body><nav>n</nav><article>{inner}</article><p>page {k}</p></body></html>") for k in range(9)]
+    pages += [(100 + k, f"https://b.example/{k}", f"<html><body><div id=c>{inner}</div></body></html>") for k in range(9)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.text for r in htmltext.extract(table).collect()} == {"Same heading Short one. item Short two."}
+
+
 def test_template_classes(spark):
     pages = [(k, "https://h.example/", f"<body><div><p>Same</p><p>Own {k}</p></div></body>") for k in range(6)]
     table = spark.createDataFrame(pages, "page_id long, url string, html string")
