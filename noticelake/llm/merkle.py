@@ -16,7 +16,7 @@ equal.  ``differences`` walks down the branches that differ and says where.
 
 Defined results: a null text is an empty one, which has a root and no section;
 two empty texts are alike (1).  A null id comes after all others; rows that
-repeat an id are in order of their text.  The one row of a table is its own
+repeat an id are in order of their text's hash.  The one row of a table is its own
 next.  An empty table gives no rows.  Other columns are not used.
 """
 

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from noticelake.llm import flatfile, warc
@@ -29,13 +31,13 @@ def test_warc_round_trip(spark):
 def test_token_files(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    texts = ["b a\nc  d", None, "", " lead", "tail ", "a\n\nb 12 don't", "x\x1c! y", "　é​<|endoftext|> z", "word " * 5000, "w" * 50_000]
+    texts = ["b a\nc  d", None, "", " lead", "tail ", "a\n\nb 12 don't", "x\x1c! y", "　é​<|endoftext|> z", "a <|endoftext|> b", "a  b   c\u00a0 d\r\n", "word " * 5000, "w" * 50_000]
     rows = [(len(texts) - k, t) for k, t in enumerate(texts)] + [(None, "last"), (3, "again"), (3, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS id")
     got = [tuple(r) for r in flatfile.round_trip(docs, path).orderBy("start").collect()]
     want, at = [], 0
-    for ident, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+    hashed = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    for ident, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]])):
         ids = [*model.encode(text or "", add_special_tokens=False).ids, 2]
         want.append((ident, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -48,3 +50,28 @@ def test_other_tokenizer_is_encoded_whole(spark):
     assert not flatfile.cuts_at_spaces(path)
     docs = spark.createDataFrame([(1, "One two  Three")], "doc_id long, text string")
     assert flatfile.round_trip(docs, path).first().n_tokens == len(Tokenizer.from_file(path).encode("One two  Three", add_special_tokens=False).ids) + 1
+
+
+def test_pieces_are_those_of_a_plain_call():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, rng = Tokenizer.from_file(path), random.Random(5)
+    signs = [" ", " ", " ", "\n", "\t", "\r\n", "a", "B", "it's", "I'll", "é", "ß", "×", "÷", "“", "”", "—", "\u00a0", "\u2003", "\u3000", "\u0085", "\u180e", "\x1c", "\u0301", "1", "23", "²", ",", ".", "-", "'", "'s", "<|endoftext|>", "漢", "Ж", "😀", "_", "\x00", "  ", "   ", "\n\n"]
+    for window in (8, 64, 4 << 20):
+        flatfile.WINDOW, was = window, flatfile.WINDOW
+        try:
+            for plain in (False, True):
+                model.encode_special_tokens = plain
+                encode = flatfile.encoder.__wrapped__(path, 2, plain)
+                for _ in range(200):
+                    texts = ["".join(rng.choices(signs, k=rng.choice([0, 1, 2, 5, 30]))) for _ in range(rng.choice([1, 2, 20]))]
+                    ids, sizes = encode(pa.array(texts))
+                    assert ids.tolist() == [x for t in texts for x in model.encode(t, add_special_tokens=False).ids]
+                    assert sizes.tolist() == [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+        finally:
+            flatfile.WINDOW = was
+
+
+def test_bases_are_prefix_sums(spark):
+    rows = [(k, f"f{k}", 1, 10 + k, "<u2") for k in range(20)]
+    found = flatfile.bases(spark.createDataFrame(rows, "part long, file string, docs long, tokens long, kind string"), block=3)
+    assert [r.base for r in found.orderBy("part").collect()] == [sum(10 + j for j in range(k)) for k in range(20)]
