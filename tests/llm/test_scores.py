@@ -1,4 +1,7 @@
 import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -69,11 +72,88 @@ def test_copies_on_a_host_keep_their_text(spark):
     assert {r.text for r in htmltext.extract(table).collect()} == {"Same heading Short one. item Short two."}
 
 
-def test_template_classes(spark):
-    pages = [(k, "https://h.example/", f"<body><div><p>Same</p><p>Own {k}</p></div></body>") for k in range(6)]
+def brute_tokens(html):
+    """Each token of well-formed markup by its whole path, and its parent."""
+    out, path = Counter(), ()
+    for tag, text in re.findall(r"<([^>]*)>|([^<]+)", html):
+        if tag.startswith("/"):
+            path = path[:-1]
+        elif tag:
+            found = re.match(r"(\w+)(?: class=(\w+))?", tag)
+            path += (found[1] + ("." + re.sub(r"\d+", "0", found[2]) if found[2] else ""),)
+            out[path] += 1
+        elif text.strip():
+            out[(*path, "\0" + " ".join(text.split()))] += 1
+    return out
+
+
+def test_template_classes_against_plain_vectors(spark):
+    rng = random.Random(4)
+    pages = []
+    for k in range(7):
+        items = "".join(f"<div class=c{rng.randint(1, 9)}><p>item {rng.randint(0, 3)}</p></div>" for _ in range(rng.randint(0, 4)))
+        pages.append((k, "https://h.example/", f"<body><div class=top><p>Same</p><p>words " + "long " * 80 + f"</p></div><section>{items}<p>Own {k}</p></section>{'<hr2><p>odd</p></hr2>' if k % 2 else ''}</body>"))
     table = spark.createDataFrame(pages, "page_id long, url string, html string")
-    found = htmltext.template(htmltext.classes(htmltext.tokens(table))).collect()
-    assert {r.pages for r in found} == {6} and any(r.parent_class is not None for r in found)
+    each = htmltext.classes(htmltext.tokens(table.selectExpr("'h' AS host", "html")))
+    vectors: dict = {}
+    for k, (_, _, html) in enumerate(pages):
+        for token, n in brute_tokens(html).items():
+            vectors.setdefault(token, [0] * len(pages))[k] = n
+
+    def key(path):
+        out = htmltext.ROOT
+        for step in path:
+            out = htmltext._key(out, step)
+        return out
+
+    rows = {r.token: r for r in each.collect()}
+    assert set(rows) == {key(t) for t in vectors} | {htmltext.ROOT}
+    for token, vector in vectors.items():
+        assert rows[key(token)].pages == sum(x > 0 for x in vector) and rows[key(token)].parent == key(token[:-1])
+    by_class = lambda of: {frozenset(t for t in vectors if of(t) == c) for c in {of(t) for t in vectors}}
+    assert by_class(lambda t: rows[key(t)]["class"]) == by_class(lambda t: tuple(vectors[t]))
+    found = {r.token: r for r in htmltext.template(each).collect()}
+    valid = {t for t, v in vectors.items() if sum(x > 0 for x in v) >= 0.9 * 7 and (sum(v == w for w in vectors.values()) + (v == [1] * 7)) >= 2}
+    assert set(found) == {key(t) for t in valid} | {htmltext.ROOT}
+    for t in valid:
+        assert found[key(t)].parent_class == rows[key(t[:-1])]["class"]
+    texts = {r.token for r in found.values() if r.text}
+    for k, (_, _, html) in enumerate(pages):  # every slot is recovered, and nothing else
+        want = [" ".join(x.split()) for x in re.findall(r">([^<]+)<", html)]
+        assert [b.text for b in htmltext.slots(html, texts)] == [x for x in want if x != "Same" and not x.startswith("words long")]
+
+
+def sites(rng):
+    """Pages of hosts whose markup says nothing of itself, with their articles."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    for site in range(4):
+        box = [f"k{word()}" for _ in range(9)]
+        legal, welcome = line(60), line(9)
+        for k in range(12):
+            paragraphs = [line(rng.randint(15, 60)) for _ in range(rng.randint(2, 6))]
+            lines = [line(5), *paragraphs[:1], line(4), *paragraphs[1:]]
+            links = "".join(f"<div class={box[1]}><a href=/{word()}>{line(2)}</a></div>" for _ in range(rng.randint(2, 7)))
+            body = f"<h1>{lines[0]}</h1><div class={box[4]}><p>{lines[1]}</p><h3>{lines[2]}</h3>" + "".join(f"<p>{x}</p>" for x in lines[3:]) + f"<p>{welcome}</p></div>"
+            html = f"<html><body><div class={box[0]}>{links}</div><div class={box[2]}>{line(8)}</div><div class={box[3]}>{body}</div><div class={box[5]}><p>{legal}</p><p>{line(3)}</p></div></body></html>"
+            yield f"https://s{site}.example/{k}", html, " ".join(lines)
+
+
+def test_hosts_without_telling_markup(spark):
+    rows = [(k, *x) for k, x in enumerate(sites(random.Random(8)))]
+    table = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in htmltext.extract(table).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+    assert all(htmltext.main_text(r[2], frozenset(), None) != r[3] for r in rows)  # without the template no page is right
+
+
+def test_hostile_pages():
+    began = time.perf_counter()
+    size = 1 << 20
+    for part in ("<div>", "<a x='", "<b \">\" ", "<b x=\">\" ", "<div class='a b'>t", "<!", "</x", "&amp", "<p><div>", "<x></p>"):
+        assert isinstance(htmltext.main_text(part * (size // len(part)), frozenset(), None), str)
+    assert htmltext.main_text("<div>" * 50_000 + "deep" + "</div>" * 50_000, frozenset(), None) == "deep"
+    assert time.perf_counter() - began < 60
 
 
 def test_topk(spark):
