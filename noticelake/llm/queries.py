@@ -83,8 +83,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = topk.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
-    return topk.top_k(rows.where("id % 20 = 0"), rows, 20).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rows = topk.vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(rows.where("id % 20 = 0"), rows, 20, scale=64).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def queries() -> dict[str, Query]:
@@ -186,19 +186,20 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 OP10 = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64
-    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+WITH f AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS v
+  FROM f WHERE len(embedding) = (SELECT len(embedding) FROM f GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::HUGEINT AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+SELECT query_id, rank, vec_id, least(greatest(score, -9223372036854775808), 9223372036854775807)::BIGINT AS score FROM r WHERE rank <= 20
 """
 
 

@@ -1,7 +1,9 @@
+import math
 import random
 import re
 import time
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -162,19 +164,52 @@ def test_topk(spark):
     rows = [(k, v) for k, v in enumerate(vectors)] + [(k, vectors[0]) for k in range(300, 400)]
     rows += [(500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (504, [1.0]), (None, vectors[1]), (505, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS id", "2 AS v", "3 AS own")
-    ints = topk.quantised(table, "vec_id", "embedding")
-    for size in (8192, 37):
-        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(ints.where("id % 20 = 0"), ints, 20, size, size).collect()}
-        m = {r.id: np.array(r.v) for r in ints.collect()}
-        assert len(m) == 400
+    found = topk.vectors(table, "vec_id", "embedding")
+    m = {r.id: np.floor(64 * np.array(r.v)).astype(int) for r in found.collect()}
+    assert len(m) == 400
+    for size in (32_768, 37):
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(found.where("id % 20 = 0"), found, 20, 64, size, size).collect()}
         for q in range(0, 400, 20):
             want = sorted(((-int(m[q] @ m[c]), c) for c in m if c != q))[:20]
             assert [got[q, k + 1] for k in range(20)] == [(c, -s) for s, c in want]
-    assert topk.top_k(ints.where("id % 20 = 0"), ints.where("id < 3"), 20).where("query_id = 0").count() == 2
-    none = topk.quantised(table.limit(0), "vec_id", "embedding")
+    assert topk.top_k(found.where("id % 20 = 0"), found.where("id < 3"), 20).where("query_id = 0").count() == 2
+    none = topk.vectors(table.limit(0), "vec_id", "embedding")
     assert topk.top_k(none, none).count() == 0
 
 
+def test_topk_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, (rng.normal(size=4) * 10.0 ** rng.integers(-2, 4)).tolist()) for k in range(60)]
+    rows += [(100 + k, (rng.normal(size=4) * 2.0 ** rng.integers(20, 45)).tolist()) for k in range(30)]
+    rows += [(200, [2.0**41] * 4), (220, [2.0**60, 1.0, -(2.0**60), 3.5]), (240, [1e300] * 4), (241, [-1e300] * 4), (242, [1.5e300] * 4), (243, [1.7e308] * 4), (244, [-1.7e308] * 4)]
+    rows += [(20, rows[20][1])] * 25  # a query's id that many rows have
+    found = topk.vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
+    m = [(i, [math.floor(64 * Fraction(x)) for x in v]) for i, v in rows]
+    bound = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for size in (32_768, 16):
+        got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(found.where("id % 20 = 0 AND id != 20"), found, 20, 64, size, size).collect()]
+        want = []
+        for q, v in m:
+            if q % 20 == 0 and q != 20:
+                order = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in m if i != q)[:20]
+                want += [(q, k + 1, i, bound(-s)) for k, (s, i) in enumerate(order)]
+        assert sorted(got) == sorted(want)
+    near = topk.top_k(found.where("id = 20").limit(1), found, 20).collect()
+    assert len(near) == 20 and all(r.vec_id != 20 for r in near)
+
+
+def test_maxscore_prunes():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    rows = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    shard = topk.Shard(np.arange(len(rows)), rows)
+    for q, (found, scores) in zip(range(40), shard.search(rows[:40], np.arange(40), 20), strict=True):
+        exact = rows @ rows[q]
+        exact[q] = -np.inf
+        assert found.tolist() == np.lexsort((np.arange(len(rows)), -exact))[:20].tolist() and scores.tolist() == exact[found].tolist()
+    assert shard.products < 0.65 * 40 * rows.size  # random directions are the worst case
+
+
 def test_water_level(spark):
     rows = [("x", "a", 1, 10, 100), ("x", "b", 1, 100, 100), ("x", "c", 2, 100, 100), ("y", "a", 1, 5, 100), ("y", "b", 0, 5, 100)]
     table = spark.createDataFrame(rows, "p string, n string, w long, cap long, budget long")
