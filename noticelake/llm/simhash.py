@@ -1,34 +1,40 @@
-"""Near-duplicate groups by SimHash or by the exact likeness of shingle sets.
+"""Near-duplicate groups by SimHash, alone or checked by the likeness of shingle sets.
 
 ``fingerprints`` gives each text a 64-bit SimHash.  ``components`` links texts
-and returns the connected groups.  With least shingle hashes (``mins``), texts
-are linked whose sets of shingles are alike by their exact Jaccard share; without
-them, texts whose fingerprints differ in at most ``max_bits`` bits.
-
-The exact links are found in shards of texts that have a least hash in common,
-one hash after the other.  In a shard one text is held against all others of
-like size at once, until all texts of it are linked or were held against the
-rest; a shard over ``shard_limit`` texts or ``MASS`` shingles is dealt in chunk
-pairs.  Only texts that share a least hash have their shingles written.
-
-The links of fingerprints are found by a self-join of binary tries.
-
-The self-join is the traversal of a binary trie against itself: a node pair
-starts at (root, root), its children are paired, the bits in which the two
-paths differ are added up, and a pair over the error budget is dropped with all
-below it.  To spread the work, the 64 bits are cut into ``max_bits + c`` blocks.
-Two fingerprints within the budget agree on at least ``c`` blocks, so one trie
-is built for every choice of ``c`` blocks and every value of them (a shard).
-``c`` grows with the number of distinct fingerprints, which keeps the shards
-small.  A shard with more than ``shard_limit`` fingerprints is dealt in chunks
-whose pairs are separate tasks; no pair is lost.  A shard returns a spanning
-forest of its links, so what is moved grows with the fingerprints and not with
-the square of a group.
+whose fingerprints differ in at most ``max_bits`` bits and returns the connected
+groups.  With least shingle hashes (``mins``), such links count only between
+texts that share one of them and whose sets of shingles have an exact Jaccard
+share of at least ``share``.
+
+Links are found by a self-join of binary tries: a node pair starts at (root,
+root), its children are paired, the bits in which the two paths differ are added
+up, and a pair over the error budget is dropped with all below it.  Node pairs
+of a few fingerprints are compared at once.
+
+To spread the work of fingerprints alone, the 64 bits are cut into ``max_bits + c``
+blocks.  Two fingerprints within the budget agree on at least ``c`` blocks, so
+one trie is built for every choice of ``c`` blocks and every value of them (a
+shard).  ``c`` grows with the number of distinct fingerprints, so that a shard
+has some thousands at most on average.  A shard with more than ``shard_limit``
+fingerprints is dealt by the top levels of its trie: each pair of nodes within
+the budget is a task, so copies are pruned like the walk itself; node pairs that
+are still too large are dealt in pairs of chunks.  No pair is lost.
+
+With ``mins``, a shard is the texts that share a least hash, one hash after the
+other; its trie's pairs are the candidates.  In a shard one text is held against
+all its candidates of like size at once, until all texts of it are linked or
+were held against the rest; a shard over ``shard_limit`` texts or ``MASS``
+shingles is dealt in chunk pairs.  Only texts that share a least hash have their
+shingles written.
+
+A shard returns a spanning forest of its links, so what is moved grows with the
+texts and not with the square of a group.
 
 Defined results: a null or blank text has fingerprint zero and is linked like
-any other (with ``mins``, to those without words alone); equal rows have equal results; a null id gets a fingerprint and its
-group, whose name is the smallest id in it that is not null (null if none is).
-An empty table gives an empty result.  Other columns are not touched.
+any other (with ``mins``, to those without words alone); equal rows have equal
+results; a null id gets a fingerprint and its group, whose name is the smallest
+id in it that is not null (null if none is).  Long texts are read in pieces.  An
+empty table gives an empty result.  Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -116,7 +122,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ---------------------------------------------------------------- trie join
 
 
-def close_pairs(keys: np.ndarray, groups: np.ndarray, budget: int, leaf: int = 48, width: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(keys: np.ndarray, groups: np.ndarray, budget: int, leaf: int = 4, width: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions i < j in one group whose keys differ in <= budget bits.
 
     ``keys`` are unsigned and ascending within each group; ``groups`` ascend.
@@ -202,7 +208,7 @@ def _forest(groups: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarra
     return keys[moved].view(np.int64), keys[label[moved]].view(np.int64)
 
 
-def blocks(distinct: int, budget: int, target: int = 256) -> tuple[int, list[int]]:
+def blocks(distinct: int, budget: int, target: int = 4096) -> tuple[int, list[int]]:
     """How many blocks must agree, and a 64-bit mask for each choice of them."""
     for agree in range(1, 9):
         count = budget + agree
@@ -215,6 +221,46 @@ def blocks(distinct: int, budget: int, target: int = 256) -> tuple[int, list[int
     return agree, [sum(part[k] for k in pick) for pick in combinations(range(count), agree)]
 
 
+def prefixes(fps: np.ndarray, mask: int, levels: int) -> np.ndarray:
+    """The first ``levels`` bits of fingerprints that are not in ``mask``: a node
+    of their trie."""
+    out, bit = np.zeros(len(fps), np.uint64), 64
+    for _ in range(levels):
+        bit -= 1
+        while bit and mask >> bit & 1:
+            bit -= 1
+        out = (out << np.uint64(1)) | ((fps >> np.uint64(bit)) & np.uint64(1))
+    return out.astype(np.int64)
+
+
+def node_pairs(rows: DataFrame, masks: list[int], budget: int) -> DataFrame:
+    """``fp, trie, key, low, high``: the fingerprints of large tries (``levels`` to
+    split by) at each pair of nodes that they are part of."""
+
+    def run(batches):
+        for batch in batches:
+            trie, levels = (batch.column(k).to_numpy() for k in (1, 3))
+            for t, n in {*zip(trie.tolist(), levels.tolist(), strict=True)}:
+                at = np.flatnonzero((trie == t) & (levels == n))
+                own = prefixes(batch.column(0).to_numpy()[at].view(np.uint64), masks[t], n)
+                for step in (sum(1 << b for b in pick) for k in range(min(budget, n) + 1) for pick in combinations(range(n), k)):
+                    part = batch.take(pa.array(at)).select(["fp", "trie", "key"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.minimum(own, own ^ step)), pa.array(np.maximum(own, own ^ step))], ["fp", "trie", "key", "low", "high"])
+
+    return rows.select("fp", "trie", "key", "levels").mapInArrow(run, "fp long, trie int, key long, low long, high long")
+
+
+def chunked(rows: DataFrame, limit: int) -> DataFrame:
+    """``fp, shard`` with the rows of each shard over ``limit`` dealt in pairs of chunks."""
+    sizes = rows.groupBy("shard").count().where(F.col("count") > limit)
+    sizes = keep(sizes.select("shard", F.ceil(2 * F.col("count") / F.lit(limit)).cast("int").alias("chunks")), "chunks")
+    rows = rows.join(sizes, "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", "shard"), F.col("chunks")).cast("int"))
+    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own"))))
+    rows = rows.withColumn("other", other)
+    return rows.select("fp", F.when(F.col("chunks") == 1, F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))).alias("shard"))
+
+
 def links(marked: DataFrame, max_bits: int = 4, shard_limit: int = 8192) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints (column ``fp``).
 
@@ -231,14 +277,15 @@ def links(marked: DataFrame, max_bits: int = 4, shard_limit: int = 8192) -> Data
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("trie", "mask"))
     keyed = keyed.select("fp", "trie", F.col("mask").bitwiseAND(F.col("fp")).alias("key"))
     sizes = keyed.groupBy("trie", "key").count().where("count > 1")
+    levels = F.least(F.greatest(F.ceil(F.log2(F.col("count") / F.lit(shard_limit))), F.lit(0)), F.lit(20)).cast("int")
     # kept, so that the join has a shuffle of its own on this side and a hot shard's rows can be split
-    sizes = keep(sizes.select("trie", "key", F.ceil(F.col("count") / F.lit(shard_limit)).cast("int").alias("chunks")), "shards")
+    sizes = keep(sizes.select("trie", "key", levels.alias("levels")), "shards")
     keyed = keyed.join(sizes, ["trie", "key"])
-    own = F.pmod(F.xxhash64("fp", "trie"), F.col("chunks")).cast("int")
-    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own"))))
-    dealt = keyed.withColumn("own", own).select("fp", "trie", "key", "own", other.alias("other"))
-    shard = F.xxhash64("trie", "key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select("fp", shard.alias("shard"))
+    dealt = keyed.where("levels = 0").select("fp", F.xxhash64("trie", "key").alias("shard"))
+    if sizes.where("levels > 0").first() is not None:
+        large = node_pairs(keyed.where("levels > 0"), masks, max_bits)
+        large = keep(large.select("fp", F.xxhash64("trie", "key", "low", "high").alias("shard")), "large")
+        dealt = dealt.union(chunked(large, 4 * shard_limit))
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -269,10 +316,13 @@ def links(marked: DataFrame, max_bits: int = 4, shard_limit: int = 8192) -> Data
 # ---------------------------------------------------------------- exact links
 
 
-def alike(sets: list[np.ndarray], share: tuple[int, int] = (4, 5)) -> list[tuple[int, int]]:
+def alike(sets: list[np.ndarray], share: tuple[int, int] = (4, 5), pairs: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets (of different values, none empty)
-    whose Jaccard share is at least ``share``."""
+    whose Jaccard share is at least ``share``; of the candidates ``pairs`` alone (a
+    symmetric matrix of flags), if given."""
     by_size = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    if pairs is not None:
+        pairs = pairs[np.ix_(by_size, by_size)]
     sizes = np.array([len(sets[k]) for k in by_size], np.int64)
     starts = np.r_[0, np.cumsum(sizes)]
     vocabulary, codes = np.unique(np.concatenate([sets[k] for k in by_size]), return_inverse=True)
@@ -292,14 +342,21 @@ def alike(sets: list[np.ndarray], share: tuple[int, int] = (4, 5)) -> list[tuple
         open_[x] = False
         lo = int(np.searchsorted(sizes * down, sizes[x] * up))
         hi = int(np.searchsorted(sizes * up, sizes[x] * down, "right"))
+        at = np.flatnonzero(active[lo:hi] & (group[lo:hi] != own) & (pairs is None or pairs[x, lo:hi])) + lo
+        if not len(at):
+            continue
         mine = codes[starts[x] : starts[x + 1]]
         mark[mine] = 1
-        shared = np.add.reduceat(mark[codes[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo])
+        if 2 * len(at) < hi - lo:
+            n = sizes[at]
+            first = np.cumsum(n) - n
+            shared = np.add.reduceat(mark[codes[np.repeat(starts[at] - first, n) + np.arange(n.sum())]], first)
+        else:
+            shared = np.add.reduceat(mark[codes[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo])[at - lo]
         mark[mine] = 0
-        near = down * shared.astype(np.int64) >= up * (sizes[lo:hi] + sizes[x] - shared)
-        near &= active[lo:hi] & (group[lo:hi] != own)
-        others, first = np.unique(group[lo:hi][near], return_index=True)
-        ends = np.flatnonzero(near)[first] + lo
+        at = at[down * shared.astype(np.int64) >= up * (sizes[at] + sizes[x] - shared)]
+        others, first = np.unique(group[at], return_index=True)
+        ends = at[first]
         out += [(by_size[x], by_size[int(y)]) for y in ends]
         group[np.isin(group, others)] = own
 
@@ -308,34 +365,71 @@ def alike(sets: list[np.ndarray], share: tuple[int, int] = (4, 5)) -> list[tuple
 MASS = 1 << 22
 
 
-def set_links(marked: DataFrame, texts: DataFrame, n: int, mins: int, share: tuple[int, int] = (4, 5), shard_limit: int = 8192) -> DataFrame:
-    """Links ``a``, ``b`` between texts (``node`` and ``mins`` of ``marked``, ``node``
-    and ``t`` of ``texts``) that share one of their ``mins`` and whose sets of
-    ``n``-word shingles have a Jaccard share of at least ``share``: a spanning
-    forest of every shard."""
+def candidates(shards: np.ndarray, fps: np.ndarray, budget: int) -> Iterator[tuple[int, int, np.ndarray | None]]:
+    """(first row, end, flags) of each shard whose trie has node pairs within the
+    budget: ``flags`` says which of its rows are candidates of each other.  Rows
+    of a shard stand together."""
+    edge = np.r_[0, np.flatnonzero(np.diff(shards)) + 1, len(shards)]
+    starts, sizes = edge[:-1], np.diff(edge)
+    run = np.repeat(np.arange(len(starts)), sizes)
+    order = np.lexsort((fps, run))
+    few = (sizes <= 64)[run]
+
+    def flags(lo, hi, i, j):
+        out = np.zeros((hi - lo, hi - lo), bool)
+        out[i - lo, j - lo] = out[j - lo, i - lo] = True
+        return out
+
+    some = order[few[order]]
+    found = [(some[i], some[j]) for i, j in close_pairs(fps[some], run[some], budget)]
+    if found:
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(run[i], kind="stable")
+        i, j = i[by], j[by]
+        cut = np.r_[0, np.flatnonzero(np.diff(run[i])) + 1, len(i)].tolist()
+        for a, b in zip(cut, cut[1:]):
+            k = run[i[a]]
+            yield int(starts[k]), int(starts[k] + sizes[k]), flags(starts[k], starts[k] + sizes[k], i[a:b], j[a:b])
+    for k in np.flatnonzero(sizes > 64).tolist():
+        lo, hi = int(starts[k]), int(starts[k] + sizes[k])
+        mine, out = order[lo:hi], np.zeros((hi - lo, hi - lo), bool)
+        for i, j in close_pairs(fps[mine], run[mine], budget):
+            out[mine[i] - lo, mine[j] - lo] = out[mine[j] - lo, mine[i] - lo] = True
+        yield lo, hi, out
+
+
+def set_links(marked: DataFrame, texts: DataFrame, n: int, mins: int, max_bits: int, share: tuple[int, int] = (4, 5), shard_limit: int = 4096) -> DataFrame:
+    """Links ``a``, ``b`` between texts (``node``, ``fp`` and ``mins`` of ``marked``,
+    ``node`` and ``t`` of ``texts``) that share one of their ``mins``, whose
+    fingerprints are within ``max_bits`` and whose sets of ``n``-word shingles have a
+    Jaccard share of at least ``share``: a spanning forest of every shard."""
     spark = marked.sparkSession
-    keyed = marked.select("node", F.posexplode("mins").alias("trie", "key")).distinct()
+    keyed = marked.select("node", "fp", F.posexplode("mins").alias("trie", "key")).distinct()
     many = keep(keyed.groupBy("trie", "key").count().where("count > 1").select("trie", "key"), "many")
-    hot = keep(keyed.join(many, ["trie", "key"]).groupBy("node").agg(F.collect_list(F.struct("trie", "key")).alias("keys")), "hot")
+    hot = keep(keyed.join(many, ["trie", "key"]).groupBy("node", "fp").agg(F.collect_list(F.struct("trie", "key")).alias("keys")), "hot")
 
     def run(batches):
         for batch in batches:
             found = []
-            for x in batch.column(1).cast(pa.binary()):
+            for x in batch.column(2).cast(pa.binary()):
                 hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for part in shingles(x.as_py(), n) for s in part), np.uint64))
                 found.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(f) // 8 for f in found], pa.int64()), pa.array(found, pa.binary())], ["node", "keys", "size", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([len(f) // 8 for f in found], pa.int64()), pa.array(found, pa.binary())], ["node", "fp", "keys", "size", "shingles"])
 
-    wanted = texts.dropDuplicates(["node"]).join(hot, "node").select("node", "t", "keys")
-    sets = keep(wanted.mapInArrow(run, "node long, keys array<struct<trie:int,key:long>>, size long, shingles binary"), "sets")
+    wanted = texts.dropDuplicates(["node"]).join(hot, "node").select("node", "fp", "t", "keys")
+    sets = keep(wanted.mapInArrow(run, "node long, fp long, keys array<struct<trie:int,key:long>>, size long, shingles binary"), "sets")
     mass = sets.agg(F.sum("size")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(mass / MASS))
 
     def solve_all(batches):
         def solve(table):
-            ids, nodes, held = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_pylist()
-            edge = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)].tolist()
-            pairs = [(nodes[lo + i], nodes[lo + j]) for lo, hi in zip(edge, edge[1:]) for i, j in alike([np.frombuffer(x, np.uint64) for x in held[lo:hi]], share)]
+            ids, nodes, fps = (table.column(k).to_numpy() for k in range(3))
+            held = table.column(3).combine_chunks()
+            pairs = []
+            for lo, hi, flags in candidates(ids, fps.view(np.uint64), max_bits):
+                rows = np.flatnonzero(flags.any(axis=1))  # the others have no candidate
+                found = alike([np.frombuffer(held[lo + k].as_buffer(), np.uint64) for k in rows.tolist()], share, flags[np.ix_(rows, rows)])
+                pairs += [(nodes[lo + rows[i]], nodes[lo + rows[j]]) for i, j in found]
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -356,7 +450,7 @@ def set_links(marked: DataFrame, texts: DataFrame, n: int, mins: int, share: tup
 
     found = []
     for k in range(mins):  # one at a time, so that only one copy of the sets is moved
-        mine = sets.select("node", "size", "shingles", F.explode(F.filter("keys", lambda x: x["trie"] == k)["key"]).alias("key"))
+        mine = sets.select("node", "fp", "size", "shingles", F.explode(F.filter("keys", lambda x: x["trie"] == k)["key"]).alias("key"))
         sizes = mine.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / F.lit(shard_limit), F.sum("size") / F.lit(MASS))).cast("int").alias("chunks"))
         # chunks of large shards alone are looked up; a row of any other shard has one
         sizes = keep(sizes.where("chunks > 1"), "shards")
@@ -365,7 +459,7 @@ def set_links(marked: DataFrame, texts: DataFrame, n: int, mins: int, share: tup
         other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own"))))
         dealt = dealt.withColumn("other", other)
         shard = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        dealt = dealt.select(shard.alias("shard"), "node", "shingles").repartition(parts, "shard").sortWithinPartitions("shard")
+        dealt = dealt.select(shard.alias("shard"), "node", "fp", "shingles").repartition(parts, "shard").sortWithinPartitions("shard")
         found.append(keep(dealt.mapInArrow(solve_all, "a long, b long"), "links"))
     for old in (many, hot, sets):
         forget(old)
@@ -408,22 +502,23 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, max_bits: int = 12, mins: int = 8, share: tuple[int, int] = (4, 5)) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, max_bits: int = 22, mins: int = 8, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``fingerprint`` (16 hex digits)
     and ``component_id``, the smallest id that links lead to, its own included.
 
     By default texts are linked whose sets of ``n``-word shingles have a Jaccard
-    share of at least ``share``, taken exactly for those that have one of
-    ``mins`` least shingle hashes in common: texts that share four fifths of
-    their shingles miss each other there with a probability of 0.2 to the power
-    ``mins``.  With ``mins`` of 0 the fingerprints alone decide, by ``max_bits``.
+    share of at least ``share``, taken exactly for those that have one of ``mins``
+    least shingle hashes in common and fingerprints within ``max_bits``.  Texts that
+    share four fifths of their shingles miss each other in the first with a
+    probability of 0.2 to the power ``mins``, and differ in 10 bits on average with
+    a deviation of 3.  With ``mins`` of 0 the fingerprints alone decide.
     """
     marked = keep(fingerprints(docs, id_col, text_col, n, mins), "fingerprints").withColumnRenamed(id_col, "id")
     node = "node" if mins else "fp"
     nodes = keep(marked.groupBy(node).agg(F.min("id").alias("first")), "nodes")
     if mins:
         text = F.col(text_col).cast("string")
-        found = set_links(marked, docs.select(F.xxhash64(text).alias("node"), text.alias("t")), n, mins, share)
+        found = set_links(marked, docs.select(F.xxhash64(text).alias("node"), text.alias("t")), n, mins, max_bits, share)
     else:
         found = links(nodes, max_bits)
     roots = connected(found).withColumnRenamed("node", node)

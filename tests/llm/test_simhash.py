@@ -80,21 +80,50 @@ def test_components(spark):
     rows += [(100 + k, rows[k][1] + " tail") for k in range(10)] + [(7, rows[7][1]), (7, rows[7][1])]
     rows += [(300, None), (301, ""), (302, " "), (None, rows[3][1]), (None, "only here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "'x' AS id")
-    for limit in (8192,):
-        got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.components(docs, n=4, max_bits=4, mins=0).collect()), key=str)
-        fps = [brute_fingerprint(t, 4) for _, t in rows]
-        roots = brute_groups(fps, [i for i, _ in rows], 4)
-        assert got == sorted(((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, roots, strict=True)), key=str)
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.components(docs, n=4, max_bits=4, mins=0).collect()), key=str)
+    fps = [brute_fingerprint(t, 4) for _, t in rows]
+    roots = brute_groups(fps, [i for i, _ in rows], 4)
+    assert got == sorted(((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, roots, strict=True)), key=str)
     assert simhash.components(docs.limit(0), n=4, max_bits=4, mins=0).count() == 0
 
 
-def test_large_shards_are_dealt_in_chunks(spark):
-    base = random.Random(4).getrandbits(63)
-    fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(0, 40, 3) for b in range(a)})
+def test_large_shards_are_dealt_by_node_pairs_and_chunks(spark):
+    rng = random.Random(4)
+    base = rng.getrandbits(63)
+    fps = {base ^ (1 << a) ^ (1 << b) for a in range(0, 40, 3) for b in range(a)}
+    fps |= {base ^ sum(1 << b for b in rng.sample(range(63), 9)) for _ in range(60)}
+    fps = sorted(fps)
     nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for limit in (8192, 16):
-        edges = simhash.connected(simhash.links(nodes, 4, shard_limit=limit)).collect()
-        assert {r.root for r in edges} == {min(fps)} and len({r.node for r in edges} - {min(fps)}) == len(fps) - 1
+    want = brute_groups(fps, fps, 4)
+    for limit in (8192, 64, 16):
+        edges = {r.node: r.root for r in simhash.connected(simhash.links(nodes, 4, shard_limit=limit)).collect()}
+        assert [edges.get(f, f) for f in fps] == want
+
+
+def test_node_pairs_hold_every_pair_within_budget(spark):
+    rng = random.Random(8)
+    mask = ((1 << 13) - 1) << 40
+    fps = [rng.getrandbits(63) & ~mask for _ in range(60)]
+    fps += [f ^ sum(1 << b for b in rng.sample([x for x in range(63) if not mask >> x & 1], 3)) for f in fps]
+    rows = spark.createDataFrame([(f, 0, 0, 6) for f in fps], "fp long, trie int, key long, levels int")
+    met = {}
+    for r in simhash.node_pairs(rows, [mask], 4).collect():
+        met.setdefault((r.low, r.high), set()).add(r.fp)
+    together = {(a, b) for found in met.values() for a in found for b in found}
+    assert all((a, b) in together for a in fps for b in fps if (a ^ b).bit_count() <= 4)
+    assert all((low ^ high).bit_count() <= 4 for low, high in met)
+
+
+def test_the_walk_drops_pairs_of_the_tables_own_shards(monkeypatch):
+    rng = np.random.default_rng(5)  # as many fingerprints as a shard of 95,000 texts has
+    keys = np.sort(rng.integers(0, 1 << 51, 13 * 500, dtype=np.uint64))
+    groups = np.repeat(np.arange(500), 13)
+    order = np.lexsort((keys, groups))
+    seen = []
+    compare = simhash._compare
+    monkeypatch.setattr(simhash, "_compare", lambda k, a0, a1, b0, b1, *x: seen.append(int(((a1 - a0) * (b1 - b0)).sum())) or compare(k, a0, a1, b0, b1, *x))
+    assert list(simhash.close_pairs(keys[order], groups, 4)) == []
+    assert sum(seen) < 0.8 * 500 * 13 * 13
 
 
 def test_near_copies_by_shared_least_hashes(spark):
