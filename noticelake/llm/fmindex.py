@@ -44,9 +44,10 @@ class WaveletMatrix:
         return at - self.first[symbol]
 
 
-def suffix_array(ids: np.ndarray, longest: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of ``ids`` by their first ``2 * longest`` symbols at least,
-    ties by position, and each suffix's class by its first ``depth`` symbols.
+def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of ``ids`` by their first ``depth + 1`` symbols at least, ties by
+    position, and whether each suffix in it shares fewer than ``depth`` symbols
+    with the one before.
 
     Prefix doubling: a rank by 2k symbols is that by k symbols of a pair.
     """
@@ -55,45 +56,44 @@ def suffix_array(ids: np.ndarray, longest: int, depth: int) -> tuple[np.ndarray,
     def ranked(pair):
         order = np.argsort(pair, kind="stable")
         sorted_pair = pair[order]
-        new = np.r_[0, np.cumsum(sorted_pair[1:] != sorted_pair[:-1])]
         rank = np.empty(n, np.int64)
-        rank[order] = new
+        rank[order] = np.r_[0, np.cumsum(sorted_pair[1:] != sorted_pair[:-1])]
         return rank, order
 
-    def shifted(rank, by):
-        out = np.zeros(n, np.int64)
-        if by < n:
-            out[: n - by] = rank[by:] + 1
-        return out
-
-    ranks = {1: ranked(ids.astype(np.int64))[0]}
+    ranks, order = {}, None
+    ranks[1], order = ranked(ids.astype(np.int64))
     k = 1
-    while k < longest * 2:
-        rank, order = ranked(ranks[k] * (n + 1) + shifted(ranks[k], k))
-        ranks[2 * k] = rank
+    while k <= depth:
+        after = np.zeros(n, np.int64)
+        after[: max(n - k, 0)] = ranks[k][k:] + 1
+        ranks[2 * k], order = ranked(ranks[k] * (n + 1) + after)
         k *= 2
-    done, cls = 0, None
+    one, two, same = order[1:], order[:-1], np.ones(n - 1, bool)
+    done = 0
     for bit in sorted(ranks, reverse=True):  # depth as a sum of powers of two
         if depth - done >= bit:
-            cls = ranks[bit] if cls is None else ranked(cls * (n + 1) + shifted(ranks[bit], done))[0]
+            inside = np.maximum(one, two) + done < n
+            same &= inside
+            same[inside] &= ranks[bit][one[inside] + done] == ranks[bit][two[inside] + done]
             done += bit
-    return order, cls
+    return order, np.r_[True, ~same]
 
 
 class FMIndex:
     """Backward search over the words of a shard, with matches held at ``depth``.
 
-    ``text`` is the segments' ids (from 1), each followed by 0.
+    ``text`` is the segments' ids (from 1), each followed by 0.  Matches are never
+    longer than ``depth`` before a step, so the order need not look further than
+    one symbol more.
     """
 
-    def __init__(self, text: np.ndarray, longest: int, depth: int):
-        sa, cls = suffix_array(text, longest, depth)
+    def __init__(self, text: np.ndarray, depth: int):
         sigma = int(text.max()) + 1
-        self.sa, self.depth, self.n = sa, depth, len(text)
-        self.bwt = WaveletMatrix(text[sa - 1], sigma)  # -1: the last 0 precedes the first segment
+        self.sa, edge = suffix_array(text, depth)
+        self.depth, self.n = depth, len(text)
+        self.bwt = WaveletMatrix(text[self.sa - 1], sigma)  # -1: the last 0 precedes the first segment
         self.less = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))][:sigma]
-        edge = np.r_[True, cls[sa[1:]] != cls[sa[:-1]]]  # the classes by depth symbols are runs
-        self.start = np.flatnonzero(edge)
+        self.start = np.flatnonzero(edge)  # where neighbours share fewer than depth symbols
         self.of = (np.cumsum(edge) - 1).astype(np.int32)
         self.end = np.r_[self.start[1:], self.n]
 
@@ -103,15 +103,16 @@ class FMIndex:
         both = self.bwt.rank(np.r_[symbol, symbol], np.r_[lo, hi])
         return self.less[symbol] + both[:n], self.less[symbol] + both[n:]
 
-    def matching(self, streams: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Stream the segments from right to left: for each position of
-        ``streams``, the class of the ``depth`` words there (-1: fewer words are
-        left, or they don't occur).
+    def matching(self, streams: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stream segments through the index from right to left.  For each position
+        of ``streams``, the interval of the ``depth`` words there (empty: fewer words
+        are left, or they don't occur).  A word's id is -1 if the index lacks it.
 
-        A match longer than ``depth`` is widened to the class of its first
-        ``depth`` words, so each position costs one step.
+        A match of ``depth`` words is widened before the next step, by its last word's
+        leaving, to all suffixes that share the ``depth`` words before it; a match
+        that ends anew costs the steps since its start.
         """
-        out = np.full(len(streams), -1, np.int64)
+        low, high = np.zeros(len(streams), np.int64), np.zeros(len(streams), np.int64)
         order = np.argsort(-lengths, kind="stable")
         at, left = (starts + lengths)[order], lengths[order]
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64)
@@ -120,14 +121,38 @@ class FMIndex:
             m = int(np.searchsorted(-left, -step, side="left"))  # segments with more words than steps so far
             lo, hi, size = lo[:m], hi[:m], size[:m]
             where = at[:m] - 1 - step
-            lo, hi = self.back(lo, hi, streams[where])
+            symbol = streams[where]
+            lo, hi = self.back(lo, hi, np.maximum(symbol, 0))
             size = size + 1
-            gone = hi <= lo  # start anew: no part of the longer match occurs
-            if gone.any():
-                lo, hi, size = np.where(gone, 0, lo), np.where(gone, self.n, hi), np.where(gone, 0, size)
+            gone = (hi <= lo) | (symbol < 0)
+            if gone.any():  # shorter parts of the match may go on
+                lo[gone], hi[gone], size[gone] = self._again(streams, where[gone], size[gone])
             full = size >= self.depth
             if full.any():
-                held = self.of[lo[full]]
-                out[where[full]] = held
-                lo[full], hi[full], size[full] = self.start[held], self.end[held], self.depth
+                run = self.of[lo[full]]
+                lo[full], hi[full], size[full] = self.start[run], self.end[run], self.depth
+                low[where[full]], high[where[full]] = lo[full], hi[full]
+        return low, high
+
+    def _again(self, streams, where, size):
+        """The longest match that starts at each place ``where`` and has fewer than
+        ``size`` words, found word by word from its end."""
+        out = np.zeros((3, len(where)), np.int64)
+        out[1] = self.n
+        todo = np.arange(len(where))
+        size = size - 1
+        while len(todo):
+            todo = todo[size[todo] > 0]
+            if not len(todo):
+                break
+            lo, hi = np.zeros(len(todo), np.int64), np.full(len(todo), self.n, np.int64)
+            for k in range(int(size[todo].max()) - 1, -1, -1):
+                on = (size[todo] > k) & (hi > lo)
+                symbol = streams[where[todo[on]] + k]
+                lo[on], hi[on] = self.back(lo[on], hi[on], np.maximum(symbol, 0))
+                hi[on] = np.where(symbol < 0, lo[on], hi[on])
+            found = hi > lo
+            out[:, todo[found]] = lo[found], hi[found], size[todo[found]]
+            size[todo] -= 1
+            todo = todo[~found]
         return out

@@ -3,8 +3,10 @@
 ``fingerprints`` gives each text a 64-bit SimHash.  ``components`` links texts
 whose fingerprints differ in at most ``max_bits`` bits and returns the connected
 groups.  With least shingle hashes (``mins``), such links count only between
-texts that share one of them and whose sets of shingles have an exact Jaccard
-share of at least ``share``.
+texts that share one of them and whose sets of shingles are alike, exactly, by at
+least ``share``: by the cosine that SimHash estimates (shared shingles over the
+geometric mean of the sizes; a Jaccard share of 0.8 is a cosine of 0.89 in sets
+of one size), or by the Jaccard share.
 
 Links are found by a self-join of binary tries: a node pair starts at (root,
 root), its children are paired, the bits in which the two paths differ are added
@@ -316,9 +318,9 @@ def links(marked: DataFrame, max_bits: int = 4, shard_limit: int = 8192) -> Data
 # ---------------------------------------------------------------- exact links
 
 
-def alike(sets: list[np.ndarray], share: tuple[int, int] = (4, 5), pairs: np.ndarray | None = None) -> list[tuple[int, int]]:
+def alike(sets: list[np.ndarray], share: tuple[int, int] = (4, 5), pairs: np.ndarray | None = None, cosine: bool = False) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of sets (of different values, none empty)
-    whose Jaccard share is at least ``share``; of the candidates ``pairs`` alone (a
+    whose Jaccard share (or cosine) is at least ``share``; of the candidates ``pairs`` alone (a
     symmetric matrix of flags), if given."""
     by_size = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     if pairs is not None:
@@ -328,7 +330,7 @@ def alike(sets: list[np.ndarray], share: tuple[int, int] = (4, 5), pairs: np.nda
     vocabulary, codes = np.unique(np.concatenate([sets[k] for k in by_size]), return_inverse=True)
     mark = np.zeros(len(vocabulary), np.int32)
     group, open_, active, out = np.arange(len(sets)), np.ones(len(sets), bool), np.ones(len(sets), bool), []
-    up, down = share
+    up, down = (share[0] ** 2, share[1] ** 2) if cosine else share
     while True:
         living = np.flatnonzero(np.bincount(group[active], minlength=len(sets)))
         if len(living) < 2:
@@ -354,7 +356,8 @@ def alike(sets: list[np.ndarray], share: tuple[int, int] = (4, 5), pairs: np.nda
         else:
             shared = np.add.reduceat(mark[codes[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo])[at - lo]
         mark[mine] = 0
-        at = at[down * shared.astype(np.int64) >= up * (sizes[at] + sizes[x] - shared)]
+        shared = shared.astype(np.int64)
+        at = at[down * shared**2 >= up * sizes[at] * sizes[x] if cosine else down * shared >= up * (sizes[at] + sizes[x] - shared)]
         others, first = np.unique(group[at], return_index=True)
         ends = at[first]
         out += [(by_size[x], by_size[int(y)]) for y in ends]
@@ -398,11 +401,11 @@ def candidates(shards: np.ndarray, fps: np.ndarray, budget: int) -> Iterator[tup
         yield lo, hi, out
 
 
-def set_links(marked: DataFrame, texts: DataFrame, n: int, mins: int, max_bits: int, share: tuple[int, int] = (4, 5), shard_limit: int = 4096) -> DataFrame:
+def set_links(marked: DataFrame, texts: DataFrame, n: int, mins: int, max_bits: int, share: tuple[int, int] = (4, 5), cosine: bool = False, shard_limit: int = 4096) -> DataFrame:
     """Links ``a``, ``b`` between texts (``node``, ``fp`` and ``mins`` of ``marked``,
     ``node`` and ``t`` of ``texts``) that share one of their ``mins``, whose
     fingerprints are within ``max_bits`` and whose sets of ``n``-word shingles have a
-    Jaccard share of at least ``share``: a spanning forest of every shard."""
+    Jaccard share (or cosine) of at least ``share``: a spanning forest of every shard."""
     spark = marked.sparkSession
     keyed = marked.select("node", "fp", F.posexplode("mins").alias("trie", "key")).distinct()
     many = keep(keyed.groupBy("trie", "key").count().where("count > 1").select("trie", "key"), "many")
@@ -428,7 +431,7 @@ def set_links(marked: DataFrame, texts: DataFrame, n: int, mins: int, max_bits:
             pairs = []
             for lo, hi, flags in candidates(ids, fps.view(np.uint64), max_bits):
                 rows = np.flatnonzero(flags.any(axis=1))  # the others have no candidate
-                found = alike([np.frombuffer(held[lo + k].as_buffer(), np.uint64) for k in rows.tolist()], share, flags[np.ix_(rows, rows)])
+                found = alike([np.frombuffer(held[lo + k].as_buffer(), np.uint64) for k in rows.tolist()], share, flags[np.ix_(rows, rows)], cosine)
                 pairs += [(nodes[lo + rows[i]], nodes[lo + rows[j]]) for i, j in found]
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -502,15 +505,16 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, max_bits: int = 22, mins: int = 8, share: tuple[int, int] = (4, 5)) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, max_bits: int = 24, mins: int = 8, share: tuple[int, int] = (4, 5), cosine: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``fingerprint`` (16 hex digits)
     and ``component_id``, the smallest id that links lead to, its own included.
 
     By default texts are linked whose sets of ``n``-word shingles have a Jaccard
-    share of at least ``share``, taken exactly for those that have one of ``mins``
-    least shingle hashes in common and fingerprints within ``max_bits``.  Texts that
-    share four fifths of their shingles miss each other in the first with a
-    probability of 0.2 to the power ``mins``, and differ in 10 bits on average with
+    share (with ``cosine``, a cosine) of at least ``share``, taken exactly for those
+    that have one of ``mins`` least shingle hashes in common and fingerprints within
+    ``max_bits``.  Texts with a Jaccard share of 0.8 miss each other in the first
+    with a probability of 0.2 to the power ``mins``, and with a cosine of 0.8 and one
+    size of 0.33 to that power; they differ in 10 and in 13 bits on average, with
     a deviation of 3.  With ``mins`` of 0 the fingerprints alone decide.
     """
     marked = keep(fingerprints(docs, id_col, text_col, n, mins), "fingerprints").withColumnRenamed(id_col, "id")
@@ -518,7 +522,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = keep(marked.groupBy(node).agg(F.min("id").alias("first")), "nodes")
     if mins:
         text = F.col(text_col).cast("string")
-        found = set_links(marked, docs.select(F.xxhash64(text).alias("node"), text.alias("t")), n, mins, max_bits, share)
+        found = set_links(marked, docs.select(F.xxhash64(text).alias("node"), text.alias("t")), n, mins, max_bits, share, cosine)
     else:
         found = links(nodes, max_bits)
     roots = connected(found).withColumnRenamed("node", node)

@@ -59,6 +59,18 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before them until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it of a URI, for use on executors."""
     if uri.startswith("file:"):

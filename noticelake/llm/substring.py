@@ -13,8 +13,9 @@ a smaller id, or further ahead in the same one.
    the shuffle).
 3. Entries are dealt to shards by anchor.  A shard builds a compressed FM-index
    of its entries (:mod:`.fmindex`) and streams them through it: backward
-   search gives each position's interval of equal ``length``-word matches, and
-   the earliest place of an interval alone is kept.
+   search over its wavelet matrix gives the matching statistics of each position,
+   and the interval of suffixes where the match reaches ``length`` words; of an
+   interval's suffixes the one with the earliest place alone is kept.
 4. A document's windows in segments of step 1 that are not kept are removed.
 
 An anchor with more than ``hot`` different segments (the edges of a passage
@@ -24,8 +25,9 @@ their words, so no shard meets a hot anchor's entries.
 Defined results: a null or blank text has no words; fewer than ``length`` words
 have no window.  A null id counts as the largest number.  Rows that repeat an id
 are ordered by a hash of their text; rows equal in both are one document and
-have the same result.  An empty table gives no rows.  Other columns are not
-touched.
+have the same result.  A text of any length is read in pieces of some two
+megabytes, and a word of over ``LONGEST`` bytes is looked for by its digest.  An
+empty table gives no rows.  Other columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,16 +44,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .store import forget, keep
+from .store import forget, free_names, keep
 
 GRAM = 5
 PIECE = 2 << 20  # bytes that are hashed at a time
+LONGEST = 8 << 10  # bytes of a word that are hashed; a piece has many more words than a window
 SHARD_WORDS = 1_000_000
 LAST = np.iinfo(np.int64).max
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
+_LONG = re.compile(rb"[^\x20\x09-\x0D]{%d,}+" % LONGEST)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _MIX = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,12 +96,18 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray,
     in pieces that overlap by ``length - 1`` words."""
     held, size = [], 0
     for k, raw in enumerate(texts):
+        if len(raw) >= LONGEST:
+            raw = _LONG.sub(lambda m: hashlib.sha256(m[0]).hexdigest().encode(), raw)
         if len(raw) > PIECE:
             at, before = 0, 0
             while True:
                 gap = _GAP.search(raw, min(len(raw), at + PIECE))
                 end = gap.start() if gap else len(raw)
                 part = raw[at:end]
+                while end < len(raw) and len(part.split(None, length)) <= length:  # a piece holds a window and more
+                    gap = _GAP.search(raw, min(len(raw), end + PIECE))
+                    end = gap.start() if gap else len(raw)
+                    part = raw[at:end]
                 yield part, np.array([k]), np.array([0]), np.array([before])
                 if end >= len(raw):
                     break
@@ -242,19 +252,20 @@ def search(entries: pa.Table, length: int) -> pa.RecordBatch:
     stops = np.flatnonzero(text == 0)
     starts = np.r_[0, stops[:-1] + 1]
     lengths = stops - starts
-    index = FMIndex(text, int(lengths.max()) + 1, length)
-    cls = index.matching(text, starts, lengths)
+    index = FMIndex(text, length)
+    low, high = index.matching(text, starts, lengths)
     owner = np.repeat(np.arange(len(starts)), lengths + 1)
-    doc, mark, start = (entries.column(n).to_numpy() for n in ("doc", "mark", "start"))
-    place = np.flatnonzero(cls >= 0)
-    mine = owner[place]
-    order = np.lexsort((start[mine] + place - starts[mine], mark[mine], doc[mine], cls[place]))
-    ranked = cls[place][order]
-    earliest = place[order[np.r_[True, ranked[1:] != ranked[:-1]]]] if len(place) else place
+    rank = np.empty(len(starts), np.int64)
+    rank[np.lexsort([entries.column(n).to_numpy() for n in ("start", "mark", "doc")])] = np.arange(len(starts))
+    when = rank[owner] * (int(lengths.max()) + 1) + np.arange(len(text)) - starts[owner]  # segments of a text share no window
+    place = np.flatnonzero(high > low)
+    least = np.minimum.reduceat(when[index.sa], index.start)  # of the suffixes of each interval
+    earliest = place[when[place] == least[index.of[low[place]]]]
     bits = np.zeros(len(starts), np.int64)
     np.bitwise_or.at(bits, owner[earliest], np.left_shift(np.int64(1), earliest - starts[owner[earliest]]))
     some = bits != 0
-    return _batch({"doc": doc[some], "mark": mark[some], "start": start[some].astype(np.int32), "bits": bits[some]})
+    doc, mark, start = (entries.column(n).to_numpy()[some] for n in ("doc", "mark", "start"))
+    return _batch({"doc": doc, "mark": mark, "start": start.astype(np.int32), "bits": bits[some]})
 
 
 def kept_windows(entries: DataFrame, length: int, words: int) -> DataFrame:
@@ -309,14 +320,13 @@ def removals(rows: DataFrame, length: int = 20, hot: int = 2000) -> DataFrame:
 
 def covered(n_words: int, segs, length: int) -> np.ndarray:
     """Which words of a text go."""
-    start, windows, bits = (x.to_numpy(zero_copy_only=False) for x in segs.flatten())
-    bits = np.nan_to_num(bits.astype(np.float64), nan=0).astype(np.int64) if bits.dtype.kind == "f" else bits
+    start, windows, bits = (x.fill_null(0).to_numpy() for x in segs.flatten())
     repeated = np.zeros(n_words + 1, bool)
     seg = windows > 0
     if seg.any():
         a, m = start[seg], windows[seg]
         repeated[np.repeat(a, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)] = True
-    for k in range(64):
+    for k in range(63):
         on = (~seg) & ((bits >> k) & 1 == 1)
         if on.any():
             repeated[start[on] + k] = False
@@ -335,10 +345,11 @@ def dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: s
     space after it), or with ``digest`` rows ``id_col, n_words, n_removed,
     kept_sha256`` (of the kept words joined by one space) instead."""
     rows = _keyed(docs, id_col, text_col)
-    lost = removals(rows, length, hot).withColumnsRenamed({"doc": "__doc", "mark": "__mark", "segs": "__segs"})
+    doc, mark, gone_in = free_names(docs, "doc", "mark", "segs")
+    lost = removals(rows, length, hot).withColumnsRenamed({"doc": doc, "mark": mark, "segs": gone_in})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))), "__mark": F.xxhash64(text)})
-    joined = named.join(lost, ["__doc", "__mark"], "left").drop("__doc", "__mark")
+    named = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))), mark: F.xxhash64(text)})
+    joined = named.join(lost, [doc, mark], "left").drop(doc, mark)
 
     def marks(raw: bytes, segs) -> tuple[list[bytes], np.ndarray | None]:
         words = raw.split()
@@ -355,7 +366,7 @@ def dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
     if digest:
-        out = joined.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), "__segs")
+        out = joined.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), gone_in)
         return out.mapInArrow(digests, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
     names = docs.columns
@@ -378,4 +389,4 @@ def dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names]).schema
-    return joined.select(*names, "__segs").mapInArrow(texts, schema)
+    return joined.select(*names, gone_in).mapInArrow(texts, schema)

@@ -136,8 +136,9 @@ def test_near_copies_by_shared_least_hashes(spark):
     assert all(got[1000 + k] == k for k in range(20)) and all(got[k] == k for k in range(40))
 
 
-def brute_alike(sets):
-    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+def brute_alike(sets, cosine=False):
+    near = lambda a, b: 25 * len(a & b) ** 2 >= 16 * len(a) * len(b) if cosine else 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if near(sets[i], sets[j])]
     label = list(range(len(sets)))
     for _ in sets:
         for i, j in pairs:
@@ -154,10 +155,12 @@ def test_alike_joins_what_all_pairs_join():
             for _ in range(rng.randint(0, 5)):
                 one ^= {rng.randrange(5000)}
             sets.append(one or {1})
-        forest = simhash.alike([np.array(sorted(s), np.uint64) for s in sets])
-        label = np.arange(len(sets))
-        simhash.merge(label, *np.array(forest or [(0, 0)]).T)
-        assert label.tolist() == brute_alike(sets) and len(forest) == len(sets) - len(set(label.tolist()))
+        for cosine in (False, True):
+            for pairs in (None, np.ones((len(sets), len(sets)), bool)):
+                forest = simhash.alike([np.array(sorted(s), np.uint64) for s in sets], pairs=pairs, cosine=cosine)
+                label = np.arange(len(sets))
+                simhash.merge(label, *np.array(forest or [(0, 0)]).T)
+                assert label.tolist() == brute_alike(sets, cosine) and len(forest) == len(sets) - len(set(label.tolist()))
 
 
 def test_near_copies_are_those_of_four_fifths_and_no_others(spark, monkeypatch):
@@ -166,18 +169,18 @@ def test_near_copies_are_those_of_four_fifths_and_no_others(spark, monkeypatch):
     for k in range(60):  # one changed run of words in each of many texts, so shares lie on both sides of 0.8
         words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
         rows.append((k, " ".join(words)))
-        at, size = 30, 1 + k % 14
+        at, size = 30, 1 + k % 24
         words[at : at + size] = [f"x{rng.randrange(10**6)}" for _ in range(size)]
         rows.append((1000 + k, " ".join(words)))
     rows += [(5000, None), (5001, " "), (5002, rows[0][1].upper()), (5002, rows[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = [{p for part in simhash.shingles((t or "").encode(), 5) for p in part} for _, t in rows]
-    label = brute_alike([s or {b""} for s in sets])
-    least = {}
-    for (i, _), g in zip(rows, label, strict=True):
-        least[g] = min(least.get(g, i), i)
-    want = sorted((i, least[g]) for (i, _), g in zip(rows, label, strict=True))
-    assert 20 < sum(1 for k in range(60) if least[label[2 * k + 1]] == k) < 60
-    for mass in (simhash.MASS, 50):
+    for mass, cosine in ((simhash.MASS, False), (50, False), (simhash.MASS, True)):
+        label = brute_alike([s or {b""} for s in sets], cosine)
+        least = {}
+        for (i, _), g in zip(rows, label, strict=True):
+            least[g] = min(least.get(g, i), i)
+        want = sorted((i, least[g]) for (i, _), g in zip(rows, label, strict=True))
+        assert 20 < sum(1 for k in range(60) if least[label[2 * k + 1]] == k) < 60
         monkeypatch.setattr(simhash, "MASS", mass)
-        assert sorted((r.doc_id, r.component_id) for r in simhash.components(docs).collect()) == want
+        assert sorted((r.doc_id, r.component_id) for r in simhash.components(docs, cosine=cosine).collect()) == want

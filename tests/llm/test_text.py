@@ -70,7 +70,7 @@ def test_fm_index_counts():
     rng = np.random.default_rng(2)
     segs = [rng.integers(1, 4, rng.integers(3, 12)) for _ in range(40)]
     text = np.concatenate([np.r_[s, 0] for s in segs])
-    index = fmindex.FMIndex(text, 13, 3)
+    index = fmindex.FMIndex(text, 5)
     for pattern in ([1], [1, 2], [3, 3, 1], [2, 1, 2, 1]):
         lo, hi = np.array([0]), np.array([len(text)])
         for c in reversed(pattern):
@@ -79,6 +79,41 @@ def test_fm_index_counts():
         assert hi[0] - lo[0] == want
 
 
+def test_fm_index_matches_streams_that_it_does_not_hold():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for depth in (2, 3, 5, 9):
+        segs = [rng.integers(1, 4, rng.integers(1, 14)).tolist() for _ in range(30)]
+        index = fmindex.FMIndex(np.array([x for s in segs for x in [*s, 0]]), depth)
+        streams = [rng.integers(1, 5, rng.integers(1, 30)).tolist() for _ in range(20)]  # 4 is not in the index
+        flat = np.array([x if x < 4 else -1 for s in streams for x in s])
+        lengths = np.array([len(s) for s in streams])
+        low, high = index.matching(flat, np.cumsum(lengths) - lengths, lengths)
+        want = [sum(g[j : j + depth] == s[k : k + depth] for g in segs for j in range(len(g) - depth + 1)) if k + depth <= len(s) else 0 for s in streams for k in range(len(s))]
+        assert (high - low).tolist() == want and (any(want) or depth == 9)
+
+
+def test_substring_dedup_of_every_length(spark):
+    rng = random.Random(11)
+    few = ["a", "b"]
+    passage = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = []
+    for k in range(40):
+        words = [f"x{rng.randrange(10**6)}" for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(1, 3)):
+            at, size = rng.randrange(100), rng.randint(5, 150)
+            words += passage[at : at + size] + [f"y{rng.randrange(10**6)}"]
+        words += rng.choices(few, k=rng.randint(0, 90))
+        rows.append((k, " ".join(words)))
+    rows += [(100, "q" * 9000 + " " + rows[3][1]), (101, "q" * 9000 + " " + rows[3][1]), (102, "z" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS __doc", "2 AS __segs", "3 AS doc", "4 AS segs")
+    for length in (6, 36, 54, 67):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(docs, length, digest=True).collect()}
+        assert got == brute_dedup(rows, length)
+    assert substring.dedup(docs).columns == docs.columns
+
+
 def test_merkle(spark):
     rng = random.Random(5)
     line = lambda: " ".join(rng.choice(["alpha", "beta", "gamma."]) + str(rng.randint(0, 999)) for _ in range(30))
