@@ -28,9 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: sets
-    of five-word shingles whose exact Jaccard share is four fifths or more."""
-    groups = simhash.components(docs, n=5, mins=8)
+    """The document with the smallest id of each group of near copies: sets of
+    five-word shingles whose cosine, the similarity that SimHash estimates, is
+    four fifths or more.  All pairs with a Jaccard share of that are among them."""
+    groups = simhash.components(docs, n=5, mins=8, cosine=True)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
