@@ -12,7 +12,9 @@ The fingerprint is the root in hex, ``|``, and the sections joined by ``;``:
 8 hex digits of the section's digest, ``:``, and its paragraphs joined by
 ``,``: 6 hex digits for each leaf.  ``likeness`` is the share of equal leaves
 (twice the common ones over all, repeats counted), 1 only if the roots are
-equal.  ``differences`` walks down the branches that differ and says where.
+equal.  ``differences`` walks two whole trees down the branches whose digests
+differ, lines up their children, and gives the places of both texts that have
+no equal leaf in the other: without them the texts are the same.
 
 Defined results: a null text is an empty one, which has a root and no section;
 two empty texts are alike (1).  A null id comes after all others; rows that
@@ -25,11 +27,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .flatfile import in_ranges
@@ -84,26 +88,55 @@ def likeness(a: str, b: str) -> float:
     return min(2 * (one & two).total(), total - 1) / total
 
 
-def differences(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(section, paragraph, leaf) of ``a`` where a branch differs from that at the
-    same place of ``b``; -1 where a whole section or paragraph has no partner.
-    Branches of equal digest are not entered."""
-    if a.partition("|")[0] == b.partition("|")[0]:
-        return []
-    found = []
-    one, two = ([s for s in x.partition("|")[2].split(";") if s] for x in (a, b))
-    for k, section in enumerate(one):
-        other = two[k] if k < len(two) else None
-        if other is None:
-            found.append((k, -1, -1))
-        elif section[:8] != other[:8]:
-            lines, theirs = section[9:].split(","), other[9:].split(",")
-            for p, line in enumerate(lines):
-                if p >= len(theirs):
-                    found.append((k, p, -1))
-                elif line != theirs[p]:
-                    found += [(k, p, q) for q in range(len(line) // 6) if line[6 * q : 6 * q + 6] != theirs[p][6 * q : 6 * q + 6]]
-    return found
+class Branch(NamedTuple):
+    """A node of a tree: its digest, its bytes in the text, and what is below."""
+
+    digest: bytes
+    start: int
+    end: int
+    below: list[Branch]
+
+
+def tree(text: str | None) -> Branch:
+    """The whole tree of a text, with undivided digests.  Levels are the text, its
+    sections, their paragraphs and their leaves."""
+    raw, at, sections, paragraphs = (text or "").encode("utf-8", "surrogatepass"), 0, [], []
+
+    def close():
+        sections.append(Branch(_node([p.digest for p in paragraphs]), paragraphs[0].start, paragraphs[-1].end, paragraphs.copy()))
+        paragraphs.clear()
+
+    for line in raw.splitlines(True):
+        leaves_ = [Branch(xxhash.xxh3_128_digest(m[0]), at + m.start(), at + m.end(), []) for m in LEAF.finditer(line)]
+        paragraphs.append(Branch(_node([x.digest for x in leaves_]), at, at + len(line), leaves_))
+        at += len(line)
+        if paragraphs[-1].digest[0] < 64 or not line.strip():
+            close()
+    if paragraphs:
+        close()
+    return Branch(_node([x.digest for x in sections]), 0, len(raw), sections)
+
+
+def differences(a: Branch, b: Branch) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The (start, end) bytes of each text in branches that the other lacks at that
+    place; none if and only if the roots are equal.  Equal branches aren't entered."""
+    if a.digest == b.digest:
+        return [], []
+    if not a.below or not b.below:
+        return [(a.start, a.end)] if a.end > a.start else [], [(b.start, b.end)] if b.end > b.start else []
+    mine, theirs = [], []
+    match = SequenceMatcher(None, [x.digest for x in a.below], [x.digest for x in b.below], autojunk=False)
+    for kind, i, j, k, m in match.get_opcodes():
+        if kind == "equal":
+            continue
+        both = min(j - i, m - k)
+        for one, two in zip(a.below[i : i + both], b.below[k : k + both], strict=True):
+            found = differences(one, two)
+            mine += found[0]
+            theirs += found[1]
+        mine += [(x.start, x.end) for x in a.below[i + both : j]]
+        theirs += [(x.start, x.end) for x in b.below[k + both : m]]
+    return mine, theirs
 
 
 NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -152,12 +185,12 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             out.append([prior[0], *blank[1:], part, "last", prior[1]])
             yield batch_of(out)
 
-    spark = docs.sparkSession
     rows = keep(in_ranges(docs, id_col, text_col).mapInArrow(run, f"{DDL}, part int, edge string, text string"), "edits")
     firsts = rows.where("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
     lasts = rows.where("edge = 'last'").select("part", "id", "text")
-    parts = sorted(r.part for r in lasts.select("part").collect())  # one number for each range
-    order = spark.createDataFrame([*zip(parts, parts[1:] + parts[:1], strict=True)], "part int, next int")
+    numbers = lasts.select("part")  # one for each range, some 16 MB of text
+    first = F.min("part").over(Window.partitionBy())
+    order = numbers.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), first).alias("next"))
 
     def borders(batches):
         for batch in batches:

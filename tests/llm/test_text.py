@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import xxhash
+
 from noticelake.llm import fmindex, merkle, substring
 
 
@@ -114,32 +116,102 @@ def test_substring_dedup_of_every_length(spark):
     assert substring.dedup(docs).columns == docs.columns
 
 
+def plain_leaves(line):
+    """Leaves of a line, byte by byte: up to 40 bytes, then to the end of the word
+    (64 at most); a sentence's end and the white space after it close a leaf."""
+    out, at, stops, space = [], 0, b".!?", b" \t\n\x0b\x0c\r"
+    while at < len(line):
+        start, n = at, 0
+        while at < len(line) and n < 40 and line[at] not in stops:
+            at, n = at + 1, n + 1
+        if n:
+            n = 0
+            while at < len(line) and n < 64 and line[at] not in stops + space:
+                at, n = at + 1, n + 1
+        for kind in (stops, space):
+            n = 0
+            while at < len(line) and n < 8 and line[at] in kind:
+                at, n = at + 1, n + 1
+        out.append(line[start:at])
+    return out
+
+
+def plain_fingerprint(text):
+    node = lambda parts: hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+    sections, current = [], []
+    for line in (text or "").encode().splitlines(True):
+        leaves = [xxhash.xxh3_128(x).digest() for x in plain_leaves(line)]
+        current.append((node(leaves), leaves))
+        if current[-1][0][0] < 64 or not line.strip():
+            sections.append(current)
+            current = []
+    sections += [current] if current else []
+    digests = [node([p for p, _ in s]) for s in sections]
+    shown = ";".join(d[:4].hex() + ":" + ",".join("".join(x[:3].hex() for x in leaves) for _, leaves in s) for d, s in zip(digests, sections, strict=True))
+    return f"{node(digests).hex()}|{shown}"
+
+
+def plain_likeness(a, b):
+    if a[:32] == b[:32]:
+        return 1.0
+    cut = lambda mark: [line[k : k + 6] for s in mark[33:].split(";") if s for line in s[9:].split(",") for k in range(0, len(line), 6)]
+    one, two = cut(a), cut(b)
+    both = 0
+    for x in one:
+        if x in two:
+            two.remove(x)
+            both += 1
+    total = len(one) + len(cut(b))
+    return min(2 * both, total - 1) / total
+
+
 def test_merkle(spark):
     rng = random.Random(5)
     line = lambda: " ".join(rng.choice(["alpha", "beta", "gamma."]) + str(rng.randint(0, 999)) for _ in range(30))
     rows = [(k, "\n".join(line() for _ in range(rng.randint(1, 8)))) for k in range(1, 25)] + [(30, None), (31, ""), (32, "é\U0001f600x"), (33, "x" * 100_000), (None, "end"), (5, "twice"), (5, "twice")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS edge", "'x' AS id").repartition(4)
-    got = sorted(((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in merkle.edits(docs).collect()))
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    got = sorted(tuple(map(str, r)) for r in merkle.edits(docs).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect())
+    hashed = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]]))
     want = []
     for (ident, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
         text, after = text or "", after or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        want.append((str(ident), len(text), hashlib.sha256(edited.encode()).hexdigest(), merkle.fingerprint(text), merkle.fingerprint(edited)))
+        marks = [plain_fingerprint(t) for t in (text, edited, after)]
+        want.append(tuple(map(str, (ident, len(text), hashlib.sha256(edited.encode()).hexdigest(), *marks[:2], plain_likeness(*marks[:2]), plain_likeness(marks[0], marks[2])))))
     assert got == sorted(want)
     assert merkle.edits(docs.limit(0)).count() == 0
     one = merkle.edits(docs.where("doc_id = 30")).first()
     assert one.near_edited == one.near_next == 1.0
 
 
-def test_merkle_likeness_and_places():
+def test_merkle_likeness():
     a = "First line here. Second one.\n" * 3 + "The end of it all.\n"
     b = a.replace("The end", "No end")
     assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a)) == 1.0
     assert 0.5 < merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) < 1
-    assert merkle.differences(merkle.fingerprint(a), merkle.fingerprint(a)) == []
-    assert merkle.differences(merkle.fingerprint(a), merkle.fingerprint(b))
     assert merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("x")) == 0
     raw = a.encode() * 3
     assert b"".join(merkle.LEAF.findall(raw)) == raw
+
+
+def test_merkle_differences_are_all_that_differs():
+    rng = random.Random(9)
+    words = ["one", "two.", "three", "four!", "five", "six?", "\n", "\n\n", "seven"]
+    without = lambda raw, spans: b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(raw)], strict=True))
+    for _ in range(400):
+        a = [rng.choice(words) + str(rng.randint(0, 20)) for _ in range(rng.randint(0, 200))]
+        b = a.copy()
+        for _ in range(rng.randint(0, 3)):
+            at, size = rng.randint(0, len(b)), rng.randint(0, 12)
+            b[at : at + size] = [rng.choice(words) for _ in range(rng.randint(0, 5))]
+        a, b = " ".join(a), " ".join(b)
+        one, two = merkle.tree(a), merkle.tree(b)
+        assert one.digest.hex() == merkle.fingerprint(a).partition("|")[0]
+        mine, theirs = merkle.differences(one, two)
+        assert bool(mine or theirs) == (a != b)
+        assert mine == sorted(mine) and without(a.encode(), mine) == without(b.encode(), theirs)
+    long = "\n".join("line %d of a long text that goes on." % k for k in range(5000))
+    mine, theirs = merkle.differences(merkle.tree(long), merkle.tree(long.replace("line 2500 of", "LINE 2500 of") + "\nappended"))
+    assert sum(e - s for s, e in mine) < 200 and sum(e - s for s, e in theirs) < 200 and len(theirs) >= 2
