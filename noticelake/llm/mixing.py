@@ -22,7 +22,8 @@ as empty strings; a null id is ordered by the empty string; rows that repeat an
 id have one place in the order and are taken together.  A weight of zero, or of
 a name not listed where others are (and no ``*``), keeps a branch out.  Budgets are rounded
 down to tokens at every node.  An empty table gives no rows.  Columns that are
-not used are passed through.
+not used are passed through, whatever their names.  A text of any length is
+counted whole, in the JVM.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import free_names, keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -116,11 +117,12 @@ def plan(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Ma
 
 def select(docs: DataFrame, levels: Mapping[str, Column], mix: DataFrame, seed: str = "0", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``mix`` (from :func:`plan`) takes, once for each
-    epoch, with the columns of ``levels`` as ``mix_<name>`` and ``epoch``."""
-    named = docs.withColumns({f"mix_{n}": F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()})
-    few = mix.select(*[F.col(n).alias(f"mix_{n}") for n in levels], F.col("epochs").alias("mix_epochs"), F.col("last_key").alias("mix_last"))
-    rows = named.join(few, [f"mix_{n}" for n in levels])
-    more = F.coalesce(order_key(seed, F.col("mix_epochs") + 1, F.col(id_col)) <= F.col("mix_last"), F.lit(False))
-    times = F.col("mix_epochs") + more.cast("int")
-    rows = rows.withColumn("mix_times", times).where("mix_times > 0")
-    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).drop("mix_epochs", "mix_last", "mix_times")
+    epoch, with the columns of ``levels`` as ``mix_<name>`` and ``epoch``, each with
+    underscores before it if ``docs`` has such a column."""
+    *names, whole, last, times, epoch = free_names(docs, *[f"mix_{n}" for n in levels], "mix_epochs", "mix_last", "mix_times", "epoch")
+    named = docs.withColumns({n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(names, levels.values(), strict=True)})
+    few = mix.select(*[F.col(n).alias(m) for n, m in zip(levels, names, strict=True)], F.col("epochs").alias(whole), F.col("last_key").alias(last))
+    rows = named.join(few, names)
+    more = F.coalesce(order_key(seed, F.col(whole) + 1, F.col(id_col)) <= F.col(last), F.lit(False))
+    rows = rows.withColumn(times, F.col(whole) + more.cast("int")).where(F.col(times) > 0)
+    return rows.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns, *names, epoch)

@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into sequences.
 
-Documents are dealt to shards by a hash of id, size and cluster (never by source
-or cluster alone, so a hot one is spread evenly), and each shard is packed alone, by
+Documents are dealt to shards by a hash of id, size, cluster and place in the
+input (so neither a hot source or cluster nor equal rows meet), and each shard is packed alone, by
 falling size.  Open bins are ordered by residual.  A document goes to the bin
 with the smallest residual that holds it and conflicts with nothing in it: a
 bin carries a bitmap of the sources and one of the duplicate clusters it has,
@@ -127,7 +127,8 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacit
         raise ValueError("capacity must be positive and end_tokens not negative")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.greatest(F.coalesce(size, F.lit(0)) + end_tokens, F.lit(1)).cast("long").alias("size"), source.cast("string").alias("source"), cluster.cast("long").alias("cluster"))
     shards = max(1, math.ceil(docs.count() / shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "size", "cluster"), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("place", F.monotonically_increasing_id())  # spreads equal rows
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "size", "cluster", "place"), F.lit(shards)).cast("int")).drop("place")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = pack_shard(frame.astype({"id": "Int64", "cluster": "Int64"}), capacity)

@@ -13,15 +13,20 @@ clean documents alone) cancel the hits inside them.  A text's hits are summed
 by weight and normalised by its length; a logistic curve over the sum, the
 density and the number of different entries gives the score.
 
-Bounds: lexicon and curve are fitted on at most about ``TRAIN_ROWS`` labelled
-documents, chosen by a hash of their id; the lexicon has at most
-``LEXICON_SIZE`` entries, which are what is sent to the executors.
+Bounds: lexicon and curve are fitted on at most about ``TRAIN_ROWS`` and
+``CURVE_ROWS`` labelled documents, chosen by a hash of their id.  An entry stands
+in a two-hundredth of the toxic ones at least and a phrase in a two-thousandth of
+the clean ones, so what is sent to the executors doesn't grow with the corpus.
+A word of ``LONG_WORD`` letters or more counts by its beginnings alone.
 
 Defined results: a null or empty text has no hits and the curve's value there;
 a null or other label than 0 or 1 doesn't train; an id with different labels is
 toxic; without labelled documents of both kinds the seed words and a fixed curve
-are used.  Rows that repeat an id are scored one by one.  An empty table gives
-no rows.
+are used.  Rows that repeat an id are scored one by one.  Texts are matched
+whole, however long; of entries that start at one place the heaviest counts
+(the first found of equal ones), and overlapping ones each count.  An empty
+table gives no rows.  Other columns pass through; where one is called as the
+new column, that gets an underscore before its name.
 """
 
 from __future__ import annotations
@@ -36,11 +41,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import keep
+from .store import free_names, keep
 
 TRAIN_ROWS = 100_000
 CURVE_ROWS = 50_000
-LEXICON_SIZE = 2_000
+LONG_WORD = 40
 PREFIXES = (4, 5, 6, 7)
 LEAST_BOUND = 3.0
 SEED_WEIGHT = 3.0
@@ -80,8 +85,9 @@ def terms(folded: str) -> set[str]:
     """The whole words (`` word ``) and word beginnings (`` wor``) of a text."""
     out = set()
     for word in set(folded.split()):
-        if 2 < len(word) < 40:
-            out.add(f" {word} ")
+        if len(word) > 2:
+            if len(word) < LONG_WORD:
+                out.add(f" {word} ")
             out.update([f" {word[:k]}" for k in PREFIXES if k < len(word)])
     return out
 
@@ -168,10 +174,10 @@ class Lexicon:
         words = max(1, folded.count(" ") - 1)
         total = sum(w for _, _, w in found)
         different = len({folded[a:b] for a, b, _ in found})
-        return [np.log1p(total), np.log1p(1000 * total / (words + 50)), min(different, 8), float(bool(found))]
+        return [np.log1p(total), np.log1p(1000 * total / (words + 50)), np.log1p(different), float(bool(found))]
 
 
-def learn(train: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
+def learn(train: DataFrame) -> Lexicon:
     """The lexicon of the training documents."""
     seeds = {f" {fold(w).strip()} ": SEED_WEIGHT for w in SEEDS}
     count = dict(train.groupBy("toxic").count().collect())
@@ -201,7 +207,7 @@ def learn(train: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
             continue  # one word makes up the beginning
         if bounds[term] >= LEAST_BOUND and bounds[term] > stem + 0.5:
             kept[term] = bounds[term]
-    kept = dict(sorted(kept.items(), key=lambda x: (-x[1] * found[x[0]], x[0]))[:size])
+    kept = dict(sorted(kept.items(), key=lambda x: (-x[1] * found[x[0]], x[0])))
     for term, weight in seeds.items():
         if term not in kept and clean.get(term, 0) <= max(2, found.get(term, 0)):
             kept[term] = weight
@@ -223,7 +229,7 @@ def learn(train: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
     if usual:
         shown = frozenset(usual)
         toxic = dict(_counted(train.where("toxic = 1"), "folded", lambda t: pairs(t) & shown).collect())
-        phrases += sorted((p for p in usual if usual[p] >= 4 * good / bad * toxic.get(p, 0) + often), key=lambda p: -usual[p])[:size]
+        phrases += sorted((p for p in usual if usual[p] >= 4 * good / bad * toxic.get(p, 0) + often), key=lambda p: (-usual[p], p))
     return Lexicon(kept, phrases)
 
 
@@ -264,8 +270,8 @@ def curve(train: DataFrame, lexicon: Lexicon, rows: int = CURVE_ROWS) -> list[fl
 
 
 def score(docs: DataFrame, lexicon: Lexicon, coefficients: list[float], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1)."""
-    names = docs.columns
+    """``docs`` with ``score`` (0 to 1) as its last column."""
+    names, (new,) = docs.columns, free_names(docs, "score")
     at = names.index(text_col)
     intercept, slope = coefficients[0], np.array(coefficients[1:])
 
@@ -273,10 +279,10 @@ def score(docs: DataFrame, lexicon: Lexicon, coefficients: list[float], text_col
         for batch in batches:
             x = np.array([lexicon.features(fold(t)) for t in batch.column(at).cast(pa.string()).to_pylist()], float).reshape(-1, 4)
             value = 1 / (1 + np.exp(-np.clip(intercept + x @ slope, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array(value)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array(value)], [*names, new])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema).withColumnRenamed("_score", "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(new, T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def model(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, list[float]]:

@@ -53,6 +53,38 @@ def test_toxicity_is_learned_and_held_out(spark):
     assert toxicity.score(docs.limit(0), *nothing).count() == 0
 
 
+def test_hits_and_scores_against_a_plain_matcher(spark):
+    rng = random.Random(3)
+    weights = {" ab": 1.5, " ab ": 2.0, " abc": 1.0, " cad ": 3.0, " b": 0.5, " dd d ": 4.0}
+    lexicon, coefficients = toxicity.Lexicon(weights, [" ab c ", " a cad "]), [-2.0, 0.7, 0.2, 0.4, 0.3]
+
+    def plain(text):
+        spans = [(k, k + len(p)) for p in lexicon.exceptions for k in range(len(text)) if text.startswith(p, k)]
+        out = []
+        for k in range(len(text)):
+            found = [(w, len(t)) for t, w in weights.items() if text.startswith(t, k)]
+            if found:
+                w, size = max(found, key=lambda x: x[0])
+                if not any(s <= k and k + size <= e for s, e in spans):
+                    out.append((k, k + size, w))
+        return out
+
+    texts = ["".join(rng.choices(["a", "b", "c", "d", " "], k=rng.randint(0, 80))) for _ in range(300)] + ["", None, "ab c " * 20_000, "ab" * 50_000]
+    wanted = []
+    for t in texts:
+        folded = toxicity.fold(t)
+        assert sorted((a, b + 1, w) for a, b, w in lexicon.hits(folded)) == plain(folded) if len(folded) < 1000 else True
+        hits = [(a, b + 1, w) for a, b, w in lexicon.hits(folded)] if len(folded) >= 1000 else plain(folded)
+        total = sum(w for _, _, w in hits)
+        x = [math.log1p(total), math.log1p(1000 * total / (max(1, len(folded.split())) + 50)), math.log1p(len({folded[a:b] for a, b, _ in hits})), float(bool(hits))]
+        wanted.append(1 / (1 + math.exp(-(coefficients[0] + sum(c * v for c, v in zip(coefficients[1:], x, strict=True))))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "7 AS score", "8 AS _score")
+    rows = toxicity.score(docs, lexicon, coefficients)
+    assert rows.columns == ["doc_id", "text", "score", "_score", "__score"]
+    got = {r.doc_id: r["__score"] for r in rows.collect()}
+    assert all(abs(got[k] - w) < 1e-9 for k, w in enumerate(wanted))
+
+
 def test_html(spark):
     article = "<article class='post has-sidebar'><h1>T &amp; U</h1><p>Hello <b>wor</b>ld<br>and \n you<p>two<script>var t='</p>';</script><div class=ad>buy</div><section id=comments><p>me too</p></section></article>"
     assert htmltext.main_text(f"<body><nav><a href=x>menu</a></nav>{article}<footer>f</footer>", frozenset(), None) == "T & U Hello world and you two"
@@ -220,7 +252,7 @@ def test_water_level(spark):
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(k, "w " * rng.randint(0, 30), rng.choice(["en", "en", "de"]), f"src{rng.randint(0, 3)}") for k in range(400)] + [(None, "a b", None, None), (7, "a", "en", "src0"), (7, "a", "en", "src0"), (900, None, "en", "src1")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS tokens", "2 AS need", "3 AS k")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS tokens", "2 AS need", "3 AS k", "4 AS mix_epochs", "5 AS mix_last", "6 AS mix_times")
     levels = {"lang": F.col("lang"), "source": F.col("source")}
     mix = mixing.plan(docs, levels, {"lang": {"en": 1, "de": 3}}, (1, 2), 2, "s")
     out = mixing.select(docs, levels, mix, "s")
@@ -288,3 +320,36 @@ def test_top_k_of_a_query_id_that_repeats(spark):
     got = {(r["rank"], r.vec_id, r.score) for r in topk.top_k(table.where("id = 0").limit(1), table, 20).collect()}
     order = sorted((-int(hot @ vectors[k]), k) for k in range(1, 400))[:20]
     assert got == {(n + 1, k, -s) for n, (s, k) in enumerate(order)}
+
+
+def test_every_placement_is_the_tightest(spark):
+    rng = random.Random(10)
+    for _ in range(30):
+        capacity = rng.choice([7, 40, 100])
+        packer, bins = packing.Packer(capacity), []
+        for _ in range(rng.randint(1, 250)):
+            size, s, c = rng.randint(1, capacity), rng.randrange(rng.choice([2, 9, 60])), rng.randrange(8)
+            source, cluster = 1 << s, (1 << c if c < 5 else 0)
+            labels = (("s", s),) + ((("c", c),) if c < 2 else ())
+            b = packer.place(size, source, cluster, labels)
+            fits = [room for room, held, near in bins if room >= size and not held & source and not near & cluster]
+            if b == len(bins):
+                assert not fits
+                bins.append([capacity, 0, 0])
+            else:
+                room, held, near = bins[b]
+                assert room == min(fits) and not held & source and not near & cluster
+            bins[b] = [bins[b][0] - size, bins[b][1] | source, bins[b][2] | cluster]
+    rows = [(None, "", None, None)] * 300 + [(1, "w " * 30_000, "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, cluster long").repartition(3)
+    out = packing.pack(docs, mixing.n_tokens(F.col("text")), F.col("source"), F.col("cluster"), 64, shard_rows=40).collect()
+    assert sum(r.n_tokens for r in out) == 300 + 30_001 and len({r.bin_id >> 32 for r in out}) > 3
+
+
+def test_mixing_of_a_clashing_epoch_and_long_texts(spark):
+    rows = [(k, "w " * (50_000 if k == 3 else 5), "en", f"src{k % 2}", k) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch int")
+    levels = {"lang": F.col("lang")}
+    out = mixing.select(docs, levels, mixing.plan(docs, levels, {}, (2, 1), 2, "s"), "s")
+    assert out.columns == [*docs.columns, "mix_lang", "_epoch"] and out.count() == 40
+    assert all(r.epoch == r.doc_id and r["_epoch"] in (1, 2) for r in out.collect())
