@@ -4,8 +4,12 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 last return the columns of ``documents``.  A stage works on all its predecessor
 kept.
 
-Defined results: each stage handles nulls, empty tables and repeated rows as its
-operator states.  Rows of one doc_id stay or go together in near-dedup.
+Defined results: each stage handles nulls, empty and very long texts, empty tables
+and repeated rows as its operator states, and keeps further columns of any name.
+Rows of one doc_id stay or go together in near-dedup; rows without one stay if
+their group has no doc_id at all.  ``n_chars`` is counted anew after passages
+went.  Mixing drops a tenth of the tokens by design (``MIX_SHARE``), and languages
+without a weight.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from noticelake.llm import mixing, packing, simhash, substring, toxicity
 from noticelake.llm.queries import CAPACITY, LANGUAGE_WEIGHTS, cluster_of, tree
-from noticelake.llm.store import keep
+from noticelake.llm.store import free_names, keep
 
 #: Part of the tokens that mixing keeps, each document at most once.
 MIX_SHARE = (9, 10)
@@ -24,7 +28,8 @@ MIX_SHARE = (9, 10)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half."""
     lexicon, coefficients = toxicity.model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, lexicon, coefficients).where("score < 0.5").drop("score")
+    scored = toxicity.score(docs, lexicon, coefficients)
+    return scored.where(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +37,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     five-word shingles whose cosine, the similarity that SimHash estimates, is
     four fifths or more.  All pairs with a Jaccard share of that are among them."""
     groups = simhash.components(docs, n=5, mins=8, cosine=True)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    (name,) = free_names(docs, "stays")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
