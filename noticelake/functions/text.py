@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Query keys that don't identify an announcement.
-IGNORED_QUERY_KEYS = ("fbclid", "gclid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
+IGNORED_QUERY_KEYS = ("fbclid", "gclid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 # Counters and footers whose change is no revision.
 VOLATILE = (r"瀏覽(?:人次|次數)?\s*[:：]?\s*\d+", r"最後更新\s*[:：]?\s*\d{4}[-/.]\d{1,2}[-/.]\d{1,2}")
 
@@ -59,16 +59,34 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)", 1))
 
 
+def _decoded(part: Column) -> Column:
+    spaced = F.replace(part, F.lit("+"), F.lit(" "))
+    return F.coalesce(F.try_url_decode(part), spaced)
+
+
+def _encoded(part: Column) -> Column:
+    """As forms are encoded: letters, digits and ``_.-~`` stay, a space is a plus."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and host in small letters, no fragment, no tracking keys, the other
-    keys sorted, no doubled or final slashes."""
-    url = F.trim(url)
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    site = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    keys and values decoded, sorted and encoded anew, no doubled or final
+    slashes.  An address without a scheme or host keeps what it has."""
+    url = F.regexp_replace(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""), r"[\t\r\n]", "")
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
+    site = F.lower(F.regexp_extract(rest, r"^//([^/?#]*)", 1))
+    path = F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1)
     path = F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), "/+$", "")
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    key = lambda p: F.lower(F.substring_index(p, "=", 1))
-    pairs = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~key(p).isin(*IGNORED_QUERY_KEYS)))
-    shown = F.array_join(pairs, "&")
-    return F.concat(scheme, F.lit("://"), site, F.when(path == "", "/").otherwise(path), F.when(shown == "", "").otherwise(F.concat(F.lit("?"), shown)))
+    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)).alias("v")))
+    pairs = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*IGNORED_QUERY_KEYS)))
+    shown = F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    path = F.when(path == "", "/").otherwise(path)
+    return F.concat(
+        F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":"))),
+        F.when(site != "", F.concat(F.lit("//"), site, F.when(path.startswith("/"), "").otherwise("/"))).otherwise(""),
+        path,
+        F.when(shown == "", "").otherwise(F.concat(F.lit("?"), shown)),
+    )

@@ -48,23 +48,6 @@ def q01_content_hash(spark, sf_dir):
     return d.select("doc_id", text.content_hash(F.col("source"), _title(), F.lit("2026-7-1"), F.col("lang")).alias("content_hash"))
 
 
-@query(r"""
-WITH u AS (
-  SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS h,
-         regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/+$', '') AS p,
-         regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q
-  FROM pages
-), k AS (
-  SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN
-    ('fbclid', 'gclid', 'ref', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))) AS l FROM u
-)
-SELECT page_id, s || '://' || h || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN len(l) = 0 THEN '' ELSE '?' || array_to_string(l, '&') END AS canonical_url
-FROM k
-""")
-def q02_canonical_url(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical_url"))
-
-
 OFFICIAL = ("example.org",)
 
 
@@ -81,18 +64,6 @@ def q03_url_host_role(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", site.alias("site"), role.alias("role"), score.alias("score"))
 
 
-CATEGORIES = [("Licensed", "license"), ("http", "link"), ("***", "junk"), ("|", "table"), ("@", "contact")]
-
-
-@query("""
-SELECT doc_id, CASE WHEN contains(text, 'Licensed') THEN 'license' WHEN contains(text, 'http') THEN 'link' WHEN contains(text, '***') THEN 'junk'
-  WHEN contains(text, '|') THEN 'table' WHEN contains(text, '@') THEN 'contact' ELSE 'other' END AS category FROM documents
-""")
-def q04_category_cascade(spark, sf_dir):
-    rules = [(F.contains("text", F.lit(m)), label) for m, label in CATEGORIES]
-    return _table(spark, sf_dir, "documents").select("doc_id", logic.cascade(rules, "other").alias("category"))
-
-
 @query("""
 SELECT doc_id, contains(text, 'http') OR contains(text, '@') AS relevant FROM documents
 """)
@@ -118,14 +89,6 @@ def q07_first_wins_dedup(spark, sf_dir):
     return rows.first_wins(d, ["key"], ["doc_id"]).join(d.groupBy("key").agg(F.count("*").alias("copies")), "key")
 
 
-@query(r"""
-SELECT doc_id, lower(regexp_replace(regexp_extract(text, '^[^\n]*'), '[^A-Za-z0-9]+', '', 'g')) || '|' || source AS key FROM documents
-""")
-def q08_cross_source_key(spark, sf_dir):
-    key = F.concat_ws("|", F.lower(F.regexp_replace(_title(), "[^A-Za-z0-9]+", "")), F.col("source"))
-    return _table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
-
-
 @query("""
 SELECT page_id FROM pages WHERE sha256(url) NOT IN (SELECT sha256(url) FROM pages WHERE page_id % 3 = 0)
 """)

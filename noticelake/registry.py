@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import decisions  # noqa: F401  (registers its queries)
+from .plans import announcements, decisions  # noqa: F401  (they register their queries)
 from .plans.queries import ORACLES, QUERIES, Query, q00_new_pages
 
 FLAGSHIP = q00_new_pages
