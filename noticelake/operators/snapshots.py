@@ -46,9 +46,8 @@ def save(table: DataFrame, folder: str) -> str:
     out = fs.create(fresh, True)
     out.write(bytearray(name.encode()))
     out.close()
-    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getUri()).rename(
-        fresh, pointer, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0) if not fs.exists(pointer) else _overwrite(spark)
-    )
+    context = spark._jvm.org.apache.hadoop.fs.FileContext
+    context.getFileContext(fresh.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getUri()).rename(fresh, pointer, _overwrite(spark))
     return name
 
 
@@ -68,11 +67,24 @@ def insert_or_ignore(table: DataFrame, rows: DataFrame, key: str, order: Sequenc
 
 def set_once(table: DataFrame, keys: DataFrame, key: str, values: Mapping[str, Column]) -> DataFrame:
     """``table`` with ``values`` where they are null and the key is among ``keys``."""
-    marked = table.join(keys.select(key).distinct().withColumn("_marked", F.lit(True)), key, "left")
-    columns = [F.when(F.col("_marked"), F.coalesce(F.col(c), values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns]
+    mark = "marked"
+    while mark.lower() in {c.lower() for c in table.columns}:
+        mark = "_" + mark
+    marked = table.join(keys.select(key).distinct().withColumn(mark, F.lit(True)), key, "left")
+    columns = [F.when(F.col(mark), F.coalesce(F.col(c), values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns]
     return marked.select(*columns)
 
 
+def put(cache: DataFrame, entries: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """A cache with new entries; keys that it has stay as they are."""
+    return insert_or_ignore(cache, entries, key, order)
+
+
+def delete(cache: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """A cache without the entries of some keys."""
+    return cache.join(keys.select(key), key, "left_anti")
+
+
 def cached(requests: DataFrame, cache: DataFrame, key: str, errors: bool = True) -> tuple[DataFrame, DataFrame]:
     """Requests that a cache answers, with its columns, and those it doesn't.
     Without ``errors`` an entry whose ``status`` is error answers nothing."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,11 @@ def discover(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known.select(key), key, "left_anti")
 
 
+def outdated(rows: DataFrame, fingerprint: str, current: Column) -> DataFrame:
+    """Rows that were evaluated under another fingerprint, or never."""
+    return rows.where(~F.col(fingerprint).eqNullSafe(current))
+
+
 def observe(previous: DataFrame, current: DataFrame, key: str, revision: str) -> DataFrame:
     """Every key with ``status``: baselined (first seen), unchanged, changed or
     missing."""

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import identity, periods
+from ..functions import text
+from ..operators import eligibility, identity, notices, periods
 from .queries import _table, _title, query
 
 
@@ -66,9 +67,7 @@ SELECT id AS page_id, url AS canonical_url FROM canon UNION ALL SELECT a, c FROM
 """)
 def q02_canonical_url(spark, sf_dir):
     """F05 over all pages and the rule's cases."""
-    from ..functions.text import canonical_url
-
-    return _addresses(spark, sf_dir).select(F.col("id").alias("page_id"), canonical_url(F.col("url")).alias("canonical_url"))
+    return _addresses(spark, sf_dir).select(F.col("id").alias("page_id"), text.canonical_url(F.col("url")).alias("canonical_url"))
 
 
 TITLES = [
@@ -187,3 +186,40 @@ def q57_application_period(spark, sf_dir):
     rows = with_cases(rows, [r[:4] for r in PERIODS], "id long, t string, published string, today string")
     rows = rows.select("id", periods.application_period(F.col("t"), F.col("published"), F.col("today")).alias("p"))
     return rows.select("id", "p.start", "p.deadline", "p.status", periods.deadline_exclusions(F.col("p")).alias("reasons"))
+
+
+KINDS = [
+    (-1, "113學年度獎學金獲獎名單", "", "result"), (-2, "獎學金作業要點修正", "", "policy"), (-3, "就學貸款申辦須知", "", "loan"), (-4, "清寒助學金開放申請", "", "application"),
+    (-5, "獎學金說明會", "", "information"), (-6, "獎助學金", "請於期限內完成", "application"), (-7, "校園新聞", "無", "unknown"), (-8, "獎學金行政契約書", "", "information"),
+    (-9, "獎學金設置辦法", "", "policy"), (-10, "名單", "檢附文件", "application"), (-11, None, None, "unknown"),
+]
+#: A title of the domain for each class of documents, with its kind.
+ENDS = [("得獎名單", "result"), ("線上申請報名", "application"), ("說明會", "information"), ("", "unknown")]
+
+
+@query(f"""
+SELECT doc_id AS id, ['result', 'application', 'information', 'unknown'][doc_id % 4 + 1] AS kind FROM documents UNION ALL SELECT a, d FROM ({values(KINDS)}) t(a, b, c, d)
+""")
+def q24_notice_kind_cjk(spark, sf_dir):
+    """C01 over a title of the domain for every document, and the rule's cases."""
+    end = F.element_at(F.array(*[F.lit(e) for e, _ in ENDS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), end.alias("title"), F.col("text").alias("detail"))
+    rows = with_cases(rows, [r[:3] for r in KINDS], "id long, title string, detail string")
+    return rows.select("id", notices.notice_kind(text.normalised(F.col("title")), text.normalised(F.col("detail")), notices.CJK).alias("kind"))
+
+
+CHECKED = [
+    (-1, "學業平均八十分以上,操行成績 82 分以上。", "操行成績:82"), (-2, "班級排名前 10%;GPA 不得低於 3.2。", "排名:10%;GPA:3.2"), (-3, "須繳交推薦信並參加面試。", "繳交:推薦信;繳交:面試"),
+    (-4, "學期平均 85 分、學期平均 85 分。", "學業成績:85"), (-5, "無其他條件", ""), (-6, None, ""),
+]
+
+
+@query(f"""
+SELECT doc_id AS id, '操行成績:' || doc_id % 100 || ';排名:' || doc_id % 30 || '%' AS checks FROM documents UNION ALL SELECT a, c FROM ({values(CHECKED)}) t(a, b, c)
+""")
+def q28_manual_checks(spark, sf_dir):
+    """E15 over every text, to which two conditions are added, and the rule's cases."""
+    n = F.col("doc_id")
+    said = F.concat("text", F.lit("。操行成績 "), (n % 100).cast("string"), F.lit(" 分以上，班級排名前 "), (n % 30).cast("string"), F.lit("%"))
+    rows = with_cases(_table(spark, sf_dir, "documents").select(n.alias("id"), said.alias("t")), [r[:2] for r in CHECKED], "id long, t string")
+    return rows.select("id", F.array_join(eligibility.manual_checks(F.coalesce("t", F.lit(""))), ";").alias("checks"))

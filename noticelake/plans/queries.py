@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import logic, text
-from ..operators import eligibility, evidence, notices, rows, state
+from ..operators import eligibility, evidence, notices, rows, snapshots, state
 from ..sources import frontier, listing
 from ..streaming import feeds
 
@@ -86,7 +86,7 @@ SELECT min(doc_id) AS doc_id, sha256(text) AS key, arg_min(source, doc_id) AS so
 """)
 def q07_first_wins_dedup(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"), "source")
-    return rows.first_wins(d, ["key"], ["doc_id"]).join(d.groupBy("key").agg(F.count("*").alias("copies")), "key")
+    return rows.first_wins(d, ["key"], ["doc_id"], copies="copies")
 
 
 @query("""
@@ -111,11 +111,13 @@ def q10_revision_observe(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey, sha256(c_mktsegment) AS fingerprint FROM customer WHERE c_custkey % 2 = 0 AND sha256(c_mktsegment) <> sha256('BUILDING')
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 10 > 0 THEN sha256(c_mktsegment) END AS fingerprint FROM customer)
+SELECT c_custkey, fingerprint FROM c WHERE fingerprint IS NULL OR fingerprint <> sha256('BUILDING')
 """)
 def q11_reevaluate_on_fingerprint(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").select("c_custkey", F.sha2("c_mktsegment", 256).alias("fingerprint"))
-    return c.where((F.col("c_custkey") % 2 == 0) & (F.col("fingerprint") != F.sha2(F.lit("BUILDING"), 256)))
+    """Rows that were evaluated for another profile, or for none."""
+    seen = F.when(F.col("c_custkey") % 10 > 0, F.sha2("c_mktsegment", 256))
+    return state.outdated(_table(spark, sf_dir, "customer").select("c_custkey", seen.alias("fingerprint")), "fingerprint", F.sha2(F.lit("BUILDING"), 256))
 
 
 @query("""
@@ -130,14 +132,6 @@ def q12_notifiable_topk(spark, sf_dir):
 BODY = r"(?s)<article>(.*?)</article>"
 
 
-@query(r"""
-SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS body_chars FROM pages
-""")
-def q13_main_text_length(spark, sf_dir):
-    body = F.regexp_replace(F.regexp_extract("html", BODY, 1), "<[^>]*>", " ")
-    return _table(spark, sf_dir, "pages").select("page_id", F.length(F.trim(F.regexp_replace(body, r"\s+", " "))).cast("long").alias("body_chars"))
-
-
 @query("""
 WITH l AS (
   SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">', 1)))) AS pos FROM pages
@@ -204,12 +198,9 @@ SELECT doc_id, program, score, second_score, competing, CASE WHEN score < 80 THE
 FROM k WHERE n = 1
 """)
 def q17_program_match_margin(spark, sf_dir):
-    # The rules are a fixed list: exploded next to each text, no join.
-    rules = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, ("program", "alias", "required", "optional", "forbidden"), strict=True)]) for r in PROGRAMS])
-    each = _table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(rules).alias("r"))
-    has = lambda n: F.contains("text", F.col(f"r.{n}"))
-    score = notices.match_score(has("alias"), F.lit(False), has("required"), has("optional").cast("int"), has("forbidden").cast("int"), F.lit(False))
-    return rows.best_with_margin(each.select("doc_id", "r.program", score.alias("score")), "doc_id", "program", 80, 15)
+    has = lambda x: F.contains("text", F.lit(x))
+    scores = {p: notices.match_score(has(alias), F.lit(False), has(required), has(optional).cast("int"), has(forbidden).cast("int"), F.lit(False)) for p, alias, required, optional, forbidden in PROGRAMS}
+    return _table(spark, sf_dir, "documents").select("doc_id", rows.best_of(scores, 80, 15).alias("best")).select("doc_id", F.col("best.candidate").alias("program"), "best.score", "best.second_score", "best.competing", "best.status")
 
 
 @query("""
@@ -278,20 +269,6 @@ def q23_yearless_rollover(spark, sf_dir):
     return o.select("o_orderkey", due.alias("due"))
 
 
-KINDS = [
-    (1, "113學年度獎學金獲獎名單", ""), (2, "獎學金作業要點修正", ""), (3, "就學貸款申辦須知", ""), (4, "清寒助學金開放申請", ""),
-    (5, "獎學金說明會", ""), (6, "獎助學金", "請於期限內完成"), (7, "校園新聞", "無"), (8, "獎學金行政契約書", ""), (9, "獎學金設置辦法", ""), (10, "名單", "檢附文件"),
-]
-
-
-@query("""
-SELECT * FROM (VALUES (1, 'result'), (2, 'policy'), (3, 'loan'), (4, 'application'), (5, 'information'), (6, 'application'), (7, 'unknown'), (8, 'information'), (9, 'policy'), (10, 'application')) t(id, kind)
-""")
-def q24_notice_kind_cjk(spark, sf_dir):
-    d = spark.createDataFrame(KINDS, "id int, title string, detail string")
-    return d.select("id", notices.notice_kind(text.normalised(F.col("title")), text.normalised(F.col("detail")), notices.CJK).alias("kind"))
-
-
 @query("""
 WITH p AS (SELECT c_custkey, c_acctbal, c_nationkey FROM customer), r AS (SELECT n_nationkey, (n_nationkey * 200)::DOUBLE AS need FROM nation),
 s AS (SELECT c_custkey, CASE WHEN c_acctbal = 0 THEN 'unknown' WHEN c_acctbal >= need THEN 'match' ELSE 'excluded' END AS balance,
@@ -323,20 +300,6 @@ def q27_alias_any_all(spark, sf_dir):
     return out.select("doc_id", "x.status", "x.hits", (F.col("x.hits") == F.col("x.n")).alias("every"))
 
 
-CHECKED = [
-    (1, "學業平均八十分以上,操行成績 82 分以上。"), (2, "班級排名前 10%;GPA 不得低於 3.2。"), (3, "須繳交推薦信並參加面試。"),
-    (4, "學期平均 85 分、學期平均 85 分。"), (5, "無其他條件"), (6, None),
-]
-
-
-@query("""
-SELECT * FROM (VALUES (1, '操行成績:82'), (2, '排名:10%;GPA:3.2'), (3, '繳交:推薦信;繳交:面試'), (4, '學業成績:85'), (5, ''), (6, '')) t(id, checks)
-""")
-def q28_manual_checks(spark, sf_dir):
-    found = eligibility.manual_checks(F.coalesce("body", F.lit("")))
-    return spark.createDataFrame(CHECKED, "id int, body string").select("id", F.array_join(found, ";").alias("checks"))
-
-
 AXES = {"eligibility": ["eligible", "review", "ineligible", "not_applicable"], "evidence": ["valid_application_detail", "insufficient_evidence", "source_error"], "kind": ["application", "loan", "unknown"], "period": ["open", "expired", "stale_unknown", "deadline_unknown"]}
 
 
@@ -471,13 +434,18 @@ def q40_ngram_anchor_relevance(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT DISTINCT doc_id % 10 AS key, sha256(lang) AS hash FROM documents WHERE doc_id % 7 = 0)
-SELECT doc_id, a.hash IS NOT NULL AS hit FROM documents LEFT JOIN a ON a.key = doc_id % 10 AND a.hash = sha256(lang)
+WITH d AS (SELECT doc_id, sha256(lang || doc_id % 10) AS key FROM documents), a AS (SELECT key, min(doc_id) AS value FROM d GROUP BY 1),
+b AS (SELECT key, value, CASE WHEN value % 3 = 0 THEN 'error' ELSE 'ok' END AS status FROM a WHERE value % 4 > 0)
+SELECT doc_id, b.value FROM d LEFT JOIN b ON b.key = d.key AND status = 'ok'
 """)
 def q41_cache_hit_join(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("key"), F.sha2("lang", 256).alias("hash"))
-    cache = d.where("doc_id % 7 = 0").select("key", "hash").distinct().withColumn("hit", F.lit(True))
-    return d.join(cache, ["key", "hash"], "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"))
+    """Entries are put once, a key's are deleted, and errors answer nothing."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat("lang", (F.col("doc_id") % 10).cast("string")), 256).alias("key"))
+    entries = d.select("key", F.col("doc_id").alias("value"), F.when(F.col("doc_id") % 3 == 0, "error").otherwise("ok").alias("status"))
+    cache = snapshots.put(entries.limit(0), entries, "key", ["value"])
+    cache = snapshots.delete(cache, cache.where("value % 4 = 0").select("key"), "key")
+    hit, missed = snapshots.cached(d, cache, "key", errors=False)
+    return hit.select("doc_id", "value").unionByName(missed.select("doc_id"), allowMissingColumns=True)
 
 
 @query("""
@@ -504,21 +472,6 @@ def q43_pagination_frontier(spark, sf_dir):
     return found.select(F.col("node").alias("page_id"), "depth")
 
 
-LISTINGS = [
-    (1, "https://a.example/list/", "<table><tr><th>日期</th><th>標題</th></tr><tr><td>2026-7-1</td><td><a href='n/1'>清寒  助學金</a></td></tr><tr><td>n/a</td><td><a href='n/2'>x</a></td></tr><tr><td>2026/07/02</td><td><b><a href='/n/3'>A &amp; B</a></b></td></tr></table>"),
-    (2, "https://b.example/", "<tr><td>2026-02-30</td><td><a href='1'>x</a></td></tr><tr><td>2026-02-28</td><td>no link</td></tr>"),
-    (3, "https://c.example/", "<table><tr><td>2026.1.5</td><td><a href='p'>one</a></td></tr><tr><td>2026.1.6</td><td><a href='p'>two</a></td></tr></table>"),
-    (4, None, None),
-]
-
-
-@query("""
-SELECT * FROM (VALUES (1, '2026-07-01', '清寒 助學金', 'https://a.example/list/n/1'), (1, '2026-07-02', 'A & B', 'https://a.example/n/3'), (3, '2026-01-05', 'one', 'https://c.example/p')) t(id, published, title, url)
-""")
-def q44_listing_rows(spark, sf_dir):
-    return listing.listing_rows(spark.createDataFrame(LISTINGS, "id int, base string, html string"), "html", "base", "id").drop("place")
-
-
 @query("""
 SELECT DISTINCT user_id, event_type FROM events
 """)
