@@ -1,8 +1,8 @@
 """Tables and files that an operator keeps between its jobs.
 
 Everything goes under the folder that the session names in
-``spark.checkpoint.dir``, which all executors share.  Only a session that
-names none (tests) gets a local folder of its own.
+``spark.checkpoint.dir``, which all executors share.  Only a session in one
+process that names none (tests) gets a local folder of its own.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set if unset."""
+    """The folder of ``spark.checkpoint.dir``.  Only a session that runs in one
+    process may do without one; it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="noticelake-")
         spark.conf.set("spark.checkpoint.dir", found)
