@@ -1,31 +1,16 @@
-"""Eligibility of a profile for a notice, by rules that are data.
+"""What a person has to check in a requirement, as column expressions.
 
-Each sentence is read by itself.  A rule family gives exclusions, unknowns and
-matches; marks and ranks are only listed for a person to check.  Defined results:
-a null or blank text is in review without reasons.
+The decision on whole notices is in :mod:`.verdicts`.  Defined results: a null
+text gives a null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.logic import cascade
-from ..functions.text import contains_any, sentences
-
-# The groups of each scope, with the terms that name them.
-SCOPES = {
-    "program": {"日間部": ["日間部"], "進修部": ["進修部", "夜間部"], "在職專班": ["在職專班"]},
-    "degree": {"大專學士": ["大專", "大學生", "大學部", "學士"], "研究所": ["研究生", "研究所", "碩士", "博士"]},
-    "year": {"一年級": ["一年級", "大一"], "二年級": ["二年級", "大二"], "三年級": ["三年級", "大三"], "四年級": ["四年級", "大四"]},
-}
-STATUSES = ["低收入戶", "清寒", "身心障礙", "原住民", "新住民", "特殊境遇"]
-LIMITS = ["限", "僅", "須為", "應為", "須具", "申請對象", "申請資格", "對象為"]
-OPEN = ["均可", "皆可", "亦可", "不限", "優先"]
-ATTACHED = ["詳見附件", "如附件", "詳如附件"]
 # What a person has to check, with the part that is kept.
 CHECKS = {
     "學業成績": r"(?:學業|學期|學年)[^。；;，,\n\d]{0,12}?(\d{1,3}(?:\.\d+)?)\s*分",
@@ -34,18 +19,6 @@ CHECKS = {
     "GPA": r"GPA[^。；;，,\n\d]{0,16}?(\d(?:\.\d+)?)",
     "繳交": r"(?:繳交|檢附|提交|撰寫|參加)[^。；;\n]{0,10}?(自傳|研究計畫|計畫書|推薦函|推薦信|作品集|面試|口試)",
 }
-RESIDENCE = r"(?:設籍|戶籍)(?:於|在|地為)?\s*([^，。；,;\s]{1,4}?[縣市])"
-PAST_AVERAGE = r"(?:前一學年|累積)平均[^。；;，,\n\d]{0,8}(\d{1,3}(?:\.\d+)?)"
-
-
-@dataclass(frozen=True)
-class Profile:
-    """What is known of a person; None and missing entries are unknown."""
-
-    scopes: Mapping[str, str] = field(default_factory=dict)
-    statuses: Sequence[str] = ()
-    residence: str | None = None
-    past_average: float | None = None
 
 
 def manual_checks(text: Column, checks: Mapping[str, str] = CHECKS) -> Column:
@@ -56,77 +29,3 @@ def manual_checks(text: Column, checks: Mapping[str, str] = CHECKS) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.concat(F.lit(f"{label}:"), v))
 
     return F.array_distinct(F.concat(*[found(k, p) for k, p in checks.items()]))
-
-
-def _reasons(rules: Sequence[tuple[Column, Column]]) -> Column:
-    return F.filter(F.array(*[F.when(c, r) for c, r in rules]), lambda r: r.isNotNull())
-
-
-def _some(parts: Column, test) -> Column:
-    return F.coalesce(F.exists(parts, test), F.lit(False))
-
-
-def _needs(parts: Column, terms: Sequence[str], own: Sequence[str]) -> Column:
-    """Whether a sentence is limited to ``terms`` and names none of one's own."""
-    return _some(parts, lambda s: _limited(s) & contains_any(s, terms) & ~contains_any(s, own))
-
-
-def _names(parts: Column, terms: Sequence[str]) -> Column:
-    return _some(parts, lambda s: contains_any(s, terms))
-
-
-def _limited(s: Column) -> Column:
-    return contains_any(s, LIMITS) & ~contains_any(s, OPEN)
-
-
-def scope_rules(parts: Column, groups: Mapping[str, Sequence[str]], own: str | None) -> tuple[list, list, list]:
-    """(exclusions, unknowns, matches) of one scope: a sentence that is limited to
-    other groups excludes; one that names the own group matches."""
-    if own is None:
-        named = _needs(parts, [t for terms in groups.values() for t in terms], [])
-        return [], [(named, F.lit("未知:" + "/".join(groups)))], []
-    mine = groups.get(own, [own])
-    out = [(_needs(parts, terms, mine), F.lit(f"限{g}")) for g, terms in groups.items() if g != own]
-    return out, [], [(_names(parts, mine), F.lit(own))]
-
-
-def status_rules(parts: Column, statuses: Sequence[str], own: Sequence[str]) -> tuple[list, list, list]:
-    """A sentence that is limited to statuses needs one of them."""
-    out = [(_needs(parts, [x], own), F.lit(f"限{x}")) for x in statuses if x not in own]
-    return out, [], [(_names(parts, [x]), F.lit(x)) for x in own]
-
-
-def residence_rules(text: Column, own: str | None) -> tuple[list, list, list]:
-    place = F.regexp_extract(text, RESIDENCE, 1)
-    said = F.concat(F.lit("戶籍"), place)
-    if own is None:
-        return [], [(place != "", said)], []
-    same = place == own.replace("台", "臺")
-    return [((place != "") & ~same, said)], [], [(same, said)]
-
-
-def past_average_rules(text: Column, own: float | None) -> tuple[list, list, list]:
-    """Averages of a past year or of all years decide, unlike other marks."""
-    least = F.regexp_extract(text, PAST_AVERAGE, 1).try_cast("double")
-    said = F.concat(F.lit("平均"), F.regexp_extract(text, PAST_AVERAGE, 1))
-    if own is None:
-        return [], [(least.isNotNull(), said)], []
-    return [(least > own, said)], [], [(least <= own, said)]
-
-
-def evaluate(text: Column, profile: Profile) -> Column:
-    """A struct: decision, exclusions, unknowns, matches and checks.
-
-    Any exclusion makes it ineligible; else any unknown, or no match of program
-    or degree, leaves it in review; else it is eligible."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "台", "臺")
-    parts = sentences(text)
-    by_scope = {name: scope_rules(parts, groups, profile.scopes.get(name)) for name, groups in SCOPES.items()}
-    more = [status_rules(parts, STATUSES, profile.statuses), residence_rules(text, profile.residence), past_average_rules(text, profile.past_average)]
-    families = [*by_scope.values(), *more]
-    out, unknown, match = ([r for f in families for r in f[k]] for k in range(3))
-    unknown = [*unknown, (contains_any(text, ATTACHED), F.lit("詳見附件"))]
-    scope = [r for name in ("program", "degree") for r in by_scope[name][2]]
-    out, unknown, match, scope = (_reasons(r) if r else F.array().cast("array<string>") for r in (out, unknown, match, scope))
-    decision = cascade([(F.size(out) > 0, "ineligible"), ((F.size(unknown) > 0) | (F.size(scope) == 0), "review")], "eligible")
-    return F.struct(decision.alias("decision"), out.alias("exclusions"), unknown.alias("unknowns"), match.alias("matches"), manual_checks(text).alias("checks"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import eligibility, identity, notices, periods
+from ..operators import identity, notices, periods
 from .queries import _table, _title, query
 
 
@@ -206,20 +206,3 @@ def q24_notice_kind_cjk(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), end.alias("title"), F.col("text").alias("detail"))
     rows = with_cases(rows, [r[:3] for r in KINDS], "id long, title string, detail string")
     return rows.select("id", notices.notice_kind(text.normalised(F.col("title")), text.normalised(F.col("detail")), notices.CJK).alias("kind"))
-
-
-CHECKED = [
-    (-1, "學業平均八十分以上,操行成績 82 分以上。", "操行成績:82"), (-2, "班級排名前 10%;GPA 不得低於 3.2。", "排名:10%;GPA:3.2"), (-3, "須繳交推薦信並參加面試。", "繳交:推薦信;繳交:面試"),
-    (-4, "學期平均 85 分、學期平均 85 分。", "學業成績:85"), (-5, "無其他條件", ""), (-6, None, ""),
-]
-
-
-@query(f"""
-SELECT doc_id AS id, '操行成績:' || doc_id % 100 || ';排名:' || doc_id % 30 || '%' AS checks FROM documents UNION ALL SELECT a, c FROM ({values(CHECKED)}) t(a, b, c)
-""")
-def q28_manual_checks(spark, sf_dir):
-    """E15 over every text, to which two conditions are added, and the rule's cases."""
-    n = F.col("doc_id")
-    said = F.concat("text", F.lit("。操行成績 "), (n % 100).cast("string"), F.lit(" 分以上，班級排名前 "), (n % 30).cast("string"), F.lit("%"))
-    rows = with_cases(_table(spark, sf_dir, "documents").select(n.alias("id"), said.alias("t")), [r[:2] for r in CHECKED], "id long, t string")
-    return rows.select("id", F.array_join(eligibility.manual_checks(F.coalesce("t", F.lit(""))), ";").alias("checks"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import logic, text
-from ..operators import eligibility, evidence, notices, rows, snapshots, state
+from ..operators import evidence, notices, rows, snapshots, state
 from ..sources import frontier, listing
 from ..streaming import feeds
 
@@ -494,8 +494,8 @@ def q46_stream_revision(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     feed = lambda kinds: spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").where(F.col("event_type").isin(*kinds))
-    _, snapshot = feeds.revisions(feed(["view"]), "user_id", "event_id")
-    changes, _ = feeds.revisions(feed(["view", "click"]), "user_id", "event_id", snapshot)
+    _, snapshot = feeds.revisions(feed(["view"]), "user_id", "event_id", "event_id")
+    changes, _ = feeds.revisions(feed(["view", "click"]), "user_id", "event_id", "event_id", snapshot)
     return changes.drop("batch")
 
 
@@ -518,24 +518,6 @@ def q48_dimension_resolve(spark, sf_dir):
     return _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(n, "s_nationkey", "left").join(r, "r_regionkey", "left").select("s_suppkey", "n_name", "r_name")
 
 
-STUDENT = eligibility.Profile({"program": "進修部", "degree": "大專學士", "year": "二年級"}, (), "新北市", 88.5)
-NOTICES = [
-    (1, "本獎學金申請對象限日間部同學。"), (2, "對象為日間部與進修部之大學部同學,均可申請。"), (3, "申請資格限碩士、博士班同學。"),
-    (4, "大專院校同學皆可申請,清寒者優先。"), (5, "大學生申請,申請對象限低收入戶。"), (6, "大專同學學業成績達 80 分。"), (7, "學業成績達 97 分。"),
-    (8, "大專同學且設籍於新北市者。"), (9, "大專同學且設籍於台中市者。"), (10, "大專同學,條件詳見附件。"), (11, "大學生累積平均 90 分以上。"), (12, None),
-]
-
-
-@query("""
-SELECT * FROM (VALUES (1, 'ineligible', '限日間部', '', ''), (2, 'eligible', '', '', ''), (3, 'ineligible', '限研究所', '', ''), (4, 'eligible', '', '', ''), (5, 'ineligible', '限低收入戶', '', ''),
-  (6, 'eligible', '', '', '學業成績:80'), (7, 'review', '', '', '學業成績:97'), (8, 'eligible', '', '', ''), (9, 'ineligible', '戶籍臺中市', '', ''), (10, 'review', '', '詳見附件', ''),
-  (11, 'ineligible', '平均90', '', ''), (12, 'review', '', '', '')) t(id, decision, exclusions, unknowns, checks)
-""")
-def q49_eligibility(spark, sf_dir):
-    e = spark.createDataFrame(NOTICES, "id int, body string").select("id", eligibility.evaluate(F.col("body"), STUDENT).alias("e"))
-    return e.select("id", "e.decision", *[F.array_join(f"e.{c}", ";").alias(c) for c in ("exclusions", "unknowns", "checks")])
-
-
 @query(r"""
 WITH u AS (
   SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS site, regexp_extract(url, '^[^?#]*') AS address, html FROM pages

@@ -5,14 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..operators import state
+from pyspark.sql import types as T
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="noticelake-")
+    """A fresh path under the shared folder of ``spark.checkpoint.dir``.  Only a
+    session that runs in one process may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="noticelake-")
     return f"{base.rstrip('/')}/noticelake/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,38 +31,47 @@ def available(feed: DataFrame, name: str) -> DataFrame:
 
 
 def discovered_once(feed: DataFrame, keys: list[str]) -> DataFrame:
-    """Each key once, whenever it is first seen."""
+    """Each key once, whenever it is first seen; the state holds every key."""
     return feed.select(*keys).dropDuplicates(keys)
 
 
-def revisions(feed: DataFrame, key: str, revision: str, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Changes and the snapshot after a feed of revisions.
+def revisions(feed: DataFrame, key: str, revision: str, order: str, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Changes (``key``, ``previous``, ``current``, ``status``, ``batch``) and the
+    snapshot (``key``, ``revision``, ``at``, its place in the order) after a feed.
 
-    Each batch is combined to the last revision of a key, compared with the
-    snapshot before it, and writes its changes and the next snapshot under its
-    number; a batch that is run again overwrites its own tables alone.  A later
-    run takes the snapshot as ``previous``."""
+    A key's last revision is kept in Spark's keyed state, so a batch costs what it
+    touches.  Of a key's rows in a batch the last by ``order`` counts; revisions
+    themselves have no order.  A batch that is run again overwrites its own changes
+    alone.  A later run takes the snapshot as ``previous``, which is asked only for
+    keys without a state."""
     spark = feed.sparkSession
     base, point = folder(spark, "revisions"), folder(spark, "revisions-state")
-    fields = feed.select(key, revision).schema
-    start = previous.select(key, revision) if previous is not None else spark.createDataFrame([], fields)
-
-    def before(n: int) -> DataFrame:
-        return spark.read.schema(fields).parquet(f"{base}/snapshot/{n - 1}") if n else start
-
-    done = [-1]
-
-    def merge(batch: DataFrame, n: int) -> None:
-        old = before(n)
-        new = batch.groupBy(key).agg(F.max(revision).alias(revision))
-        known = old.join(new.select(key), key, "left_semi")
-        state.observe(known, new, key, revision).write.mode("overwrite").parquet(f"{base}/changes/batch={n}")
-        latest = old.unionByName(new.select(key, revision)).groupBy(key).agg(F.max(revision).alias(revision))
-        latest.write.mode("overwrite").parquet(f"{base}/snapshot/{n}")
-        done.append(n)
-
-    query = feed.select(key, revision).writeStream.foreachBatch(merge).option("checkpointLocation", point).trigger(availableNow=True).start()
+    rows = feed.select(key, F.col(revision).alias("revision"), F.col(order).alias("at"))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    if previous is None:
+        previous = spark.createDataFrame([], rows.schema)
+    known = previous.select(key, F.col("revision").alias("known"))
+    rows = rows.join(known, key, "left")
+    out = T.StructType([T.StructField(key, kinds[key]), *[T.StructField(n, kinds["revision"]) for n in ("previous", "current")], T.StructField("status", T.StringType()), T.StructField("at", kinds["at"])])
+
+    def step(name, frames, state):
+        last = pd.concat(frames).sort_values("at", kind="stable").iloc[-1]
+        seen = state.get[0] if state.exists else (None if pd.isna(last["known"]) else last["known"])
+        now = last["revision"]
+        status = "baselined" if seen is None else "unchanged" if seen == now else "changed"
+        state.update((now,))
+        yield pd.DataFrame([[name[0], seen, now, status, last["at"]]], columns=out.names)
+
+    changed = rows.groupBy(key).applyInPandasWithState(step, out, T.StructType([T.StructField("revision", kinds["revision"])]), "append", "NoTimeout")
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch={n}")
+
+    query = changed.writeStream.foreachBatch(put).option("checkpointLocation", point).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    if max(done) < 0:
-        return state.observe(start.limit(0), start.limit(0), key, revision).withColumn("batch", F.lit(0)), start
-    return spark.read.parquet(f"{base}/changes"), before(max(done) + 1)
+    stored = T.StructType([*out.fields, T.StructField("batch", T.IntegerType())])
+    spark.createDataFrame([], stored).drop("batch").write.mode("overwrite").parquet(f"{base}/batch=-1")  # so that a feed without rows has a table
+    changes = spark.read.schema(stored).parquet(base).where("batch >= 0")
+    last = changes.groupBy(key).agg(F.max_by(F.struct(F.col("current").alias("revision"), "at"), F.struct("batch", "at")).alias("x")).select(key, "x.revision", "x.at")
+    kept = previous.select(key, "revision", "at").join(last.select(key), key, "left_anti")
+    return changes.select(key, "previous", "current", "status", "batch"), kept.unionByName(last)

@@ -2,8 +2,8 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from noticelake.operators import eligibility, evidence
-from noticelake.sources import frontier, listing
+from noticelake.operators import evidence, verdicts
+from noticelake.sources import dom, frontier, listing, scans
 from noticelake.streaming import feeds
 
 
@@ -51,21 +51,37 @@ def test_reach_with_cycles_and_a_bound(spark):
 
 def test_revisions_over_batches(spark, tmp_path):
     at = str(tmp_path / "feed")
-    feed = lambda: spark.readStream.schema("k int, r int").option("maxFilesPerTrigger", 1).parquet(at)
-    spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k int, r int").coalesce(1).write.mode("append").parquet(at)
-    spark.createDataFrame([(1, 2), (2, 5), (3, 1)], "k int, r int").coalesce(1).write.mode("append").parquet(at)
-    changes, snapshot = feeds.revisions(feed(), "k", "r")
-    assert sorted((r.batch, r.k, r.status) for r in changes.collect()) in (
-        [(0, 1, "baselined"), (0, 2, "baselined"), (1, 1, "unchanged"), (1, 2, "changed"), (1, 3, "baselined")],
-        [(0, 1, "baselined"), (0, 2, "baselined"), (0, 3, "baselined"), (1, 1, "unchanged"), (1, 2, "changed")],
-    )
-    assert {r.k: r.r for r in snapshot.collect()} == {1: 2, 2: 5, 3: 1}
-    changes, _ = feeds.revisions(feed().where("k = 3"), "k", "r", snapshot)
-    assert [r.status for r in changes.collect()] == ["unchanged"]
-
-
-def test_unknown_profile_is_in_review(spark):
-    d = spark.createDataFrame([("申請對象限日間部大學生。",), ("設籍於台北市",), ("",), (None,)], "t string")
-    got = d.select(eligibility.evaluate(F.col("t"), eligibility.Profile()).alias("e")).select("e.*").collect()
-    assert [r.decision for r in got] == ["review"] * 4
-    assert len(got[0].unknowns) == 2 and got[1].unknowns == ["戶籍臺北市"] and got[2].matches == []
+    feed = lambda: spark.readStream.schema("k int, r string, n int").option("maxFilesPerTrigger", 1).parquet(at)
+    write = lambda rows: spark.createDataFrame(rows, "k int, r string, n int").coalesce(1).write.mode("append").parquet(at)
+    write([(1, "f", 1), (1, "b", 2), (2, "c", 3)])
+    changes, snapshot = feeds.revisions(feed(), "k", "r", "n")
+    assert sorted((r.k, r.previous, r.current, r.status) for r in changes.collect()) == [(1, None, "b", "baselined"), (2, None, "c", "baselined")]
+    write([(1, "b", 4), (2, "a", 5), (3, "z", 6)])  # a revision that sorts lower is still the later one
+    changes, after = feeds.revisions(feed().where("n > 3"), "k", "r", "n", snapshot)
+    assert sorted((r.k, r.previous, r.current, r.status) for r in changes.collect()) == [(1, "b", "b", "unchanged"), (2, "c", "a", "changed"), (3, None, "z", "baselined")]
+    assert {r.k: r.revision for r in after.collect()} == {1: "b", 2: "a", 3: "z"}
+    changes, after = feeds.revisions(feed(), "k", "r", "n")  # both files in one run, one after the other
+    assert {(r.k, r.current) for r in changes.collect()} >= {(1, "b"), (2, "a"), (3, "z")} and {r.k: r.revision for r in after.collect()} == {1: "b", 2: "a", 3: "z"}
+
+
+def test_unknown_profile_is_in_review():
+    for detail in ("申請對象限身心障礙之大學生。", "須設籍於臺北市之學生", "", None):
+        got = verdicts.decide("示範獎學金", detail, {"special_statuses_confirmed": False} if detail and "身心" in detail else {})
+        assert got["status"] == ("ineligible" if detail and "身心" in detail else "review"), got
+    assert verdicts.decide(None, None, {})["reasons"] == [verdicts.NOTHING]
+    assert verdicts.decide("獎學金", "限日間部。", {"program_type": "進修部"}, "declared_but_missing")["status"] == "review"
+    assert verdicts.decide("獎學金", "", {"program_type": "進修部"}, "declared_but_missing", partial="限日間部學生")["status"] == "ineligible"
+    assert verdicts.decide("獎學金", "凡大學生可申請", {}, past=["over"])["reasons"] == ["over"]
+    assert verdicts.decide("獎學金", "限大學生。" * 20_000, {})["status"] == "eligible"
+
+
+def test_dom_and_scans_of_broken_pages():
+    deep = "<div>" * 20_000 + "x" + "</b>" * 20_000
+    assert dom.parse(deep).text() == "x" and dom.parse(None).text() == ""
+    page = dom.parse("<p class='a b' id=c>one<br>two<script>no</script><i data-x='1'>three</i></p>")
+    assert [n.name for n in page.select(["p.b", "#c", "[data-x='1']", ".nothing"])] == ["p", "i"] and page.text() == "one two three"
+    for find in scans.FINDERS:
+        spec = scans.Spec("s", find, marks=("/a",), hosts=("h.example",))
+        assert scans.scan(None, None, spec) == ([], 0) and scans.scan("<a href", "https://h.example/", spec)[0] == []
+    assert scans.scan("", "https://h.example/", scans.Spec("s", "marked_anchors", hosts=("h.example",), entry="入口獎學金"))[0] == [("入口獎學金", "", "https://h.example/")]
+    assert scans.known_pages("<a href='?page=3'>3</a><a href='?page=2'>2</a>", "https://h.example/l", 2) == ["https://h.example/l?page=2"]
