@@ -120,15 +120,6 @@ def q11_reevaluate_on_fingerprint(spark, sf_dir):
     return state.outdated(_table(spark, sf_dir, "customer").select("c_custkey", seen.alias("fingerprint")), "fingerprint", F.sha2(F.lit("BUILDING"), 256))
 
 
-@query("""
-SELECT o_orderkey, CAST(o_orderdate AS DATE) AS published FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000
-ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20
-""")
-def q12_notifiable_topk(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").where("o_orderstatus = 'O' AND o_totalprice > 100000")
-    return o.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).select("o_orderkey", F.col("o_orderdate").cast("date").alias("published"))
-
-
 BODY = r"(?s)<article>(.*?)</article>"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import announcements, decisions, listings, verdicts  # noqa: F401  (they register their queries)
+from .plans import announcements, decisions, lifecycle, listings, verdicts  # noqa: F401  (they register their queries)
 from .plans.queries import ORACLES, QUERIES, Query, q00_new_pages
 
 FLAGSHIP = q00_new_pages
