@@ -6,12 +6,19 @@ Defined results: null texts are empty, null counts zero.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.logic import cascade
-from ..functions.text import contains_any
+from ..functions.logic import cascade, weighted
+from ..functions.text import contains_any, host
 from .identity import folded
+from .notices import match_score, source_role
+from .rows import best_of
 
 # What changes from year to year in a name, and words of one meaning.
 YEARS = [r"(?:19|20)\d{2}\s*年?", r"(?:民國\s*)?1\d{2}\s*年", r"第\s*[一二三四五六七八九十百零〇兩\d]+\s*屆"]
@@ -30,6 +37,65 @@ BEFORE = {
     "url_pending": ("pending_source", "尚無可靠官方或正式機構轉載入口。"),
 }
 ACCEPTED = ["matched", "no_current_announcement"]
+# Scores of a match, and words of a candidate page.
+LEAST, MARGIN, SHORTEST = 80, 15, 4
+RULE_WORDS = ["簡章", "辦法", "申請資格", "資格", "申請須知"]
+LOGIN_WORDS = ["login", "signin", "apply", "報名系統", "登入"]
+
+
+# Required, optional and forbidden words of each program.
+TERMS = {
+    "tf4dr-aid": ("賑災 助學", "基金會 獎助學金", ""),
+    "foxconn-scholarship-whale": ("獎學鯨", "鴻海 教育基金會", ""),
+    "avc-talented-student": ("資優學生", "奇鋐 獎學金", ""),
+    "cfh-graduate": ("研究所", "鄭豐喜 獎學金", "大學獎學金 肢障 家庭子女"),
+    "cfh-university": ("大學", "鄭豐喜 獎學金", "研究所 肢障 家庭子女"),
+    "kumota-flying": ("乘風飛揚", "雲田 獎助學金", ""),
+    "lijin-taoyuan": ("利晉 清寒", "桃園 助學金", ""),
+    "tcb-foundation": ("台中商", "銀行 文教基金會 獎學金", ""),
+    "tainan-kaiji": ("臺疆祖廟", "清寒 優秀 獎學金", ""),
+    "songliang-aid": ("松樑", "助學金 教育公益", ""),
+    "wang-yun-wu-self-study": ("自學獎學金", "王雲五 基金會", ""),
+    "rehe-association": ("熱河同鄉會", "台北 獎助學金", ""),
+    "wisdomshare-service-learning": ("青力親為", "千萬祝福 服務學習 獎勵計畫", ""),
+    "hsinrong-emergency-aid": ("欣榮 急難救助", "助學金", ""),
+    "it-social-care": ("資訊人 社會關懷", "獎學金", ""),
+    "you-care-hand-in-hand": ("大手拉小手", "助學計畫 普仁", ""),
+    "chiu-filial-piety": ("清寒 孝親", "績優 獎助學金", ""),
+    "buddha-charity-progress": ("清寒學生 進步", "誌善 獎學金", ""),
+    "yonglin-hope": ("銘日希望", "永齡 獎助學金", ""),
+    "cdf-vocational": ("技藝職能", "中華開發 獎學金", ""),
+    "ht-emergency": ("急難濟助", "行天宮", "資優學生 長期獎助學金 行天宮助學金"),
+    "ht-talented-long-term": ("資優學生", "行天宮 長期 獎助學金", "急難濟助"),
+    "ht-student-aid": ("助學金", "行天宮", "資優學生 急難濟助"),
+    "cht-fang-hsien-chi": ("方賢齊", "中華電信 獎學金", ""),
+    "heart-child": ("心臟病童", "獎勵學金 獎學金", ""),
+    "sunshine-scholarship": ("陽光 獎學金", "獎助學金", "萬足"),
+    "sunshine-wanzu": ("萬足", "燒傷 勞工子女 大專生 獎助學金", "陽光獎學金"),
+    "cfh-disabled-family": ("肢障 家庭子女", "鄭豐喜 獎學金", "研究所獎學金 大學獎學金"),
+    "lovepeace-disadvantaged": ("祥和 清寒", "優秀 獎學金", ""),
+    "dapeng-aid": ("大鵬", "科技慈善 獎助學金", ""),
+    "hndasset-wenxiang": ("文向獎學金", "教育基金會", ""),
+    "cy-arch-aid": ("昌益", "慈善基金會 獎助學金", ""),
+    "lihpao-fullon": ("麗寶 福容", "獎助學金", ""),
+    "gfc-scholarship": ("崇友", "實業 獎學金", ""),
+    "auden-innovation-research": ("創新 研究", "耀登 炳南 研究獎", "大專校院優秀人才 優秀人才獎學金"),
+    "auden-university-talent": ("大專 優秀人才", "耀登 炳南 獎學金", "創新研究 研究獎"),
+    "harmony-stability": ("和諧安定", "獎學金", ""),
+    "taishin-youth-volunteer": ("青少年志工 菁英獎", "台新 獎助學金", ""),
+}
+
+
+@dataclass(frozen=True)
+class Program:
+    """What a program is called, who gives it, and the words that tell it from others."""
+
+    name: str
+    aliases: tuple[str, ...]
+    organizer: str = ""
+    required: tuple[str, ...] = ()
+    optional: tuple[str, ...] = ()
+    forbidden: tuple[str, ...] = ()
 
 
 def comparable(text: Column) -> Column:
@@ -43,6 +109,78 @@ def comparable(text: Column) -> Column:
     return F.regexp_replace(value, r"[^\p{L}\p{N}]+", "")
 
 
+def known_program(name: str, aliases: tuple[str, ...], organizer: str = "") -> Program:
+    """A program with the words that are known of it."""
+    return Program(name, aliases, organizer, *(tuple(x.split()) for x in TERMS.get(name, ("", "", ""))))
+
+
+def bare(text: Column) -> Column:
+    """A text without case, spaces and signs."""
+    return F.regexp_replace(folded(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "")
+
+
+def plain_name(text: str) -> tuple[str, str]:
+    """:func:`bare` and :func:`comparable` of a name in a rule."""
+    value = whole = unicodedata.normalize("NFKC", text).casefold()
+    for pattern in YEARS:
+        value = re.sub(pattern, "", value)
+    for old, new in [*((p, "") for p in PREFIXES), *SAME]:
+        value = value.replace(old, new)
+    return tuple("".join(c for c in x if c.isalnum()) for x in (whole, value))
+
+
+def matched(rows: DataFrame, text: str, programs: list[Program], into: str = "match") -> DataFrame:
+    """``rows`` with a struct ``into``: the program that a text is about, its score, the
+    runner-up and whether that is near, among programs that compete.  Only a name or
+    all required words give a score; optional words, and an organiser that all
+    programs share, add to it, and forbidden words take from it."""
+    whole, named = f"{into}_bare", f"{into}_comparable"
+    rows = rows.withColumns({whole: bare(F.col(text)), named: comparable(F.col(text))})
+    one = len({p.organizer for p in programs}) == 1 and bool(programs[0].organizer)
+
+    def holds(column: str, names: list[str]) -> Column:
+        return contains_any(F.col(column), [n for n in names if n])
+
+    def score(p: Program) -> Column:
+        count = lambda words: sum((F.when(F.contains(named, F.lit(plain_name(w)[1])), 1).otherwise(0) for w in words), F.lit(0))
+        exact = [x for x, _ in map(plain_name, p.aliases) if len(x) >= SHORTEST]
+        alike = [y for _, y in map(plain_name, p.aliases) if len(y) >= SHORTEST]
+        core = count(p.required) == len(p.required) if p.required else F.lit(False)
+        return match_score(holds(whole, exact), holds(named, alike), core, count(p.optional), count(p.forbidden), F.lit(one))
+
+    found = best_of({p.name: score(p) for p in programs}, LEAST, MARGIN)
+    return rows.withColumn(into, found).drop(whole, named)
+
+
+def ranked_candidates(hits: DataFrame, key: str, title: str, organizer: str, aliases: list[str], official: list[str], year: int) -> DataFrame:
+    """Search hits (``key``, ``url``, ``title``, ``snippet``, ``published``) with ``role``,
+    ``score`` and ``reasons`` by host, name, organiser, year and kind of page, and their
+    ``rank`` for each key: by score, then by address."""
+    said = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "snippet", "published")])
+    rows = hits.withColumn("said", bare(said))
+    role, score = source_role(host(F.col("url")), official)
+    who = cascade([(role == "official", "官方主辦單位網域"), (role == "government", "政府機關正式來源"), (role == "school", "學校正式轉載")], "尚未驗證來源身分")
+    names = [(n, plain_name(n)[0]) for n in dict.fromkeys([title, *aliases])]
+    name = F.coalesce(*[F.when(F.contains("said", F.lit(x)), F.lit(f"方案名稱命中：{n}")) for n, x in names])
+    years = F.transform(F.regexp_extract_all("said", F.lit(r"(?<!\d)(20\d{2}|1\d{2})(?!\d)"), F.lit(1)), lambda y: y.cast("int"))
+    now = F.array_contains(years, year) | F.array_contains(years, year - 1911)
+    address = F.lower("url")
+    giver = plain_name(organizer)[0]
+    points = [
+        (name.isNotNull(), 35, name),
+        (F.contains("said", F.lit(giver)) if giver else F.lit(False), 30, F.lit("主辦單位名稱命中")),
+        (now, 25, F.lit("當年度訊號命中")),
+        (~now & (F.size(years) > 0), -30, F.lit("僅命中其他年度")),
+        (contains_any(F.col("said"), RULE_WORDS), 15, F.lit("含辦法或資格訊號")),
+        (address.endswith(".pdf"), 10, F.lit("直接 PDF 文件")),
+        (contains_any(address, LOGIN_WORDS) | contains_any(F.col("said"), LOGIN_WORDS), -40, F.lit("疑似僅為申請登入入口")),
+    ]
+    total = score + weighted([(c, n) for c, n, _ in points])
+    reasons = F.filter(F.array(who, *[F.when(c, r) for c, _, r in points]), lambda r: r.isNotNull())
+    rows = rows.select(key, "url", role.alias("role"), total.cast("int").alias("score"), reasons.alias("reasons"))
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "url")))
+
+
 def search_queries(title: Column, organizer: Column, aliases: Column, year: int) -> Column:
     """Search terms for a program: by up to three names, then by site and kind of file."""
     own, roc = F.coalesce(title, F.lit("")), str(year - 1911)
@@ -107,17 +245,17 @@ def program_state(kind: Column, pages: Column, errors: Column, matched: Column,
 def replaced_entry(urls: list[Column], original: Column, preferred: Column) -> Column:
     """Whether a row points back at an entry that preferred ones replace."""
 
-    def bare(url: Column) -> Column:
+    def address(url: Column) -> Column:
         head, rest = F.lower(F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*", 0)), F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
         path = F.regexp_replace(rest, "/+$", "")
         return F.concat(head, F.when(path == "", "/").otherwise(path))
 
-    own = bare(original)
+    own = address(original)
     points = F.lit(False)
     for url in urls:
-        points = points | ((F.coalesce(url, F.lit("")) != "") & (bare(url) == own))
+        points = points | ((F.coalesce(url, F.lit("")) != "") & (address(url) == own))
     known = (F.coalesce(original, F.lit("")) != "") & (F.size(F.coalesce(preferred, F.array().cast("array<string>"))) > 0)
-    return F.coalesce(known & ~F.exists(preferred, lambda p: bare(p) == own) & points, F.lit(False))
+    return F.coalesce(known & ~F.exists(preferred, lambda p: address(p) == own) & points, F.lit(False))
 
 
 def scanned_document(documents: Column) -> Column:

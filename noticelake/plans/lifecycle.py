@@ -210,3 +210,48 @@ def q80_source_contract(spark, sf_dir):
     n = F.col("s_suppkey")
     status = F.when(n % 3 == 1, "matched").when(n % 3 == 2, "no_current_announcement").when(n % 2 == 0, "fetch_failed")
     return programs.contract(_table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), n.cast("string")).alias("program_id"), status.alias("status")), 38)
+
+
+PEERS = [programs.known_program("ht-emergency", ("行天宮急難濟助",), "ht"), programs.known_program("ht-student-aid", ("行天宮助學金",), "ht"), programs.known_program("ht-talented-long-term", ("行天宮資優學生長期獎助學金",), "ht")]
+ABOUT = [
+    (-1, "2026年 行天宮 急難濟助 申請", "ht-emergency", 125, 0, "matched"),
+    (-2, "行天宮資優學生長期獎助金", "ht-talented-long-term", 140, 5, "matched"),
+    (-3, "助學金公告", "ht-student-aid", 75, 0, "no_match"),
+    (-4, "行天宮助學金暨急難濟助、資優學生", "ht-talented-long-term", 5, 0, "no_match"),
+    (-5, None, "ht-emergency", 0, 0, "no_match"),
+    (-6, "行天宮活動：115年度助學金", "ht-student-aid", 85, 0, "matched"),
+]
+
+
+@query(f"""
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ht-emergency' WHEN 1 THEN 'ht-student-aid' ELSE 'ht-emergency' END AS program, CASE doc_id % 3 WHEN 0 THEN 125 WHEN 1 THEN 85 ELSE 0 END AS score, 0 AS second_score,
+  CASE WHEN doc_id % 3 < 2 THEN 'matched' ELSE 'no_match' END AS status FROM documents
+UNION ALL SELECT a, c, d, e, f FROM ({values(ABOUT)}) t(a, b, c, d, e, f)
+""")
+def q81_catalogue_match(spark, sf_dir):
+    """Programs of one organiser that compete for every text, led by a name or words."""
+    lead = F.when(F.col("doc_id") % 3 == 0, "行天宮急難濟助 ").when(F.col("doc_id") % 3 == 1, "行天宮公益：助學金 ").otherwise("")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("t"))
+    rows = programs.matched(with_cases(rows, [r[:2] for r in ABOUT], "doc_id long, t string"), "t", PEERS)
+    return rows.select("doc_id", F.col("match.candidate").alias("program"), "match.score", "match.second_score", "match.status")
+
+
+@query(r"""
+WITH u AS (
+  SELECT page_id, page_id % 10 AS key, CASE WHEN page_id % 4 = 0 THEN 'https://x.edu.tw/' || page_id || '.pdf' WHEN page_id % 4 = 1 THEN 'https://b.gov.tw/apply/' || page_id ELSE url END AS url FROM pages
+), h AS (SELECT *, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM u
+), s AS (
+  SELECT *, CASE WHEN host = 'example.org' OR host LIKE '%.example.org' THEN 100 WHEN host LIKE '%.gov.tw' THEN 85 WHEN host LIKE '%.edu.tw' THEN 75 ELSE 0 END
+    + CASE WHEN page_id % 3 = 0 THEN 35 ELSE 0 END + CASE WHEN page_id % 5 = 0 THEN 30 ELSE 0 END + CASE page_id % 7 WHEN 0 THEN 25 WHEN 1 THEN -30 ELSE 0 END
+    + CASE WHEN page_id % 2 = 0 THEN 15 ELSE 0 END + CASE WHEN lower(url) LIKE '%.pdf' THEN 10 ELSE 0 END - CASE WHEN contains(lower(url), 'apply') OR contains(lower(url), 'login') OR contains(lower(url), 'signin') THEN 40 ELSE 0 END AS score FROM h
+)
+SELECT key, url, score, row_number() OVER (PARTITION BY key ORDER BY score DESC, url)::INTEGER AS rank FROM s
+""")
+def q82_candidate_rank(spark, sf_dir):
+    """Search hits of ten programs by host, name, organiser, year and kind."""
+    n = F.col("page_id")
+    address = F.when(n % 4 == 0, F.concat(F.lit("https://x.edu.tw/"), n.cast("string"), F.lit(".pdf"))).when(n % 4 == 1, F.concat(F.lit("https://b.gov.tw/apply/"), n.cast("string"))).otherwise(F.col("url"))
+    title = F.concat(F.when(n % 3 == 0, "甲 獎學金").otherwise("乙"), F.when(n % 5 == 0, "，某某基金會").otherwise(""))
+    snippet = F.concat(F.when(n % 7 == 0, "民國115學年").when(n % 7 == 1, "2019 年").otherwise("今年"), F.when(n % 2 == 0, "簡章").otherwise(""))
+    hits = _table(spark, sf_dir, "pages").select((n % 10).alias("key"), address.alias("url"), title.alias("title"), snippet.alias("snippet"), F.lit("").alias("published"))
+    return programs.ranked_candidates(hits, "key", "甲獎學金", "某某基金會", ["甲獎"], ["example.org"], 2026).select("key", "url", "score", "rank")
