@@ -428,12 +428,16 @@ def set_links(marked: DataFrame, texts: DataFrame, n: int, mins: int, max_bits:
         def solve(table):
             ids, nodes, fps = (table.column(k).to_numpy() for k in range(3))
             held = table.column(3).combine_chunks()
-            pairs = []
+            names, at = np.unique(nodes, return_inverse=True)
+            label = np.arange(len(names))
             for lo, hi, flags in candidates(ids, fps.view(np.uint64), max_bits):
                 rows = np.flatnonzero(flags.any(axis=1))  # the others have no candidate
                 found = alike([np.frombuffer(held[lo + k].as_buffer(), np.uint64) for k in rows.tolist()], share, flags[np.ix_(rows, rows)], cosine)
-                pairs += [(nodes[lo + rows[i]], nodes[lo + rows[j]]) for i, j in found]
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+                if found:
+                    i, j = at[lo + rows[np.array(found)]].T
+                    merge(label, i, j)
+            moved = label != np.arange(len(label))  # stars, which take fewer rounds to connect than chains
+            return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -457,7 +461,7 @@ def set_links(marked: DataFrame, texts: DataFrame, n: int, mins: int, max_bits:
         sizes = mine.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / F.lit(shard_limit), F.sum("size") / F.lit(MASS))).cast("int").alias("chunks"))
         # chunks of large shards alone are looked up; a row of any other shard has one
         sizes = keep(sizes.where("chunks > 1"), "shards")
-        dealt = mine.join(F.broadcast(sizes), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        dealt = mine.join(sizes, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
         other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own"))))
         dealt = dealt.withColumn("other", other)
