@@ -44,6 +44,9 @@ def record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     narrow = rows.select("id", "payload_bytes", "digest").where(F.col("payload_bytes") >= least)
     firsts = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # kept, so that its size is known: a small table is broadcast and no payload is
+    # moved, beside a large one the rows of a common payload can be split
+    firsts = keep(firsts, "firsts")
     revisit = F.when(F.col("id").isNull() | (F.col("id") != F.col("first")), F.col("first"))
     return rows.join(firsts, "digest", "left").select("id", "url", "payload", "payload_bytes", "digest", revisit.alias("refers_to"))
 
