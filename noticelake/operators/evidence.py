@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Sequence
 
@@ -10,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters of evidence, and of a block of it at most.
+# Characters of evidence, and of a block of it at most; points of a
+# clear marker, a weak one, and one that speaks against a block.
 EVIDENCE_CHARS, BLOCK_CHARS = 8000, 700
+CLEAR, WEAK, AGAINST = 8, 2, 5
 
 
 def blocks(text: str, size: int = BLOCK_CHARS) -> list[str]:
@@ -28,10 +29,7 @@ def choose(lengths: Sequence[int], scores: Sequence[int], room: int) -> set[int]
     character between blocks."""
     taken = set(range(min(2, len(lengths))))
     left = room + 1 - sum(lengths[k] + 1 for k in taken)
-    queue = [(-s, k) for k, s in enumerate(scores) if s > 0]
-    heapq.heapify(queue)
-    while queue:
-        _, k = heapq.heappop(queue)
+    for k in sorted((k for k, s in enumerate(scores) if s > 0), key=lambda k: (-scores[k], k)):
         new = {j for j in (k - 1, k, k + 1) if 0 <= j < len(lengths)} - taken
         cost = sum(lengths[j] + 1 for j in new)
         if cost <= left:
@@ -50,7 +48,7 @@ def compact_text(text: str | None, strong: Sequence[str], weak: Sequence[str], a
     scores = []
     for p in parts:
         clear = sum(m in p for m in strong)
-        scores.append(8 * clear + 2 * sum(m in p for m in weak) - (0 if clear else 5 * sum(m in p for m in against)))
+        scores.append(CLEAR * clear + WEAK * sum(m in p for m in weak) - (0 if clear else AGAINST * sum(m in p for m in against)))
     if max(scores, default=0) <= 0:
         return text[:room].rstrip()
     return "\n".join(parts[k] for k in sorted(choose([len(p) for p in parts], scores, room)))[:room].rstrip()

@@ -31,6 +31,12 @@ LATIN = {
     "award": ["the", "der", "les", "ción"],
     "contract_context": ["http"],
 }
+# Patterns of the domain's titles and openings, in order of precedence.
+CALENDAR = ["作息|行事曆|辦公時間|暑假|寒假"]
+CONVERSION = ["換算表", "名額.{0,12}換算", "排名.{0,12}換算"]
+PROCESS = ["申辦流程|申請流程|作業流程|流程圖|說明會|座談會|宣導"]
+EXPECTED = ["(?:將於|預計).{0,24}(?:公布|公告|上線)", "尚未公布"]
+CONTRACT = ["(?:行政)?契約書"]
 # Weighted groups of evidence markers.
 CJK_EVIDENCE = [
     ("申請資格 申請對象 申請人資格 申請條件 資格條件 適用對象 濟助對象".split(), 2),
@@ -48,15 +54,16 @@ def notice_kind(title: Column, detail: Column, pack: Mapping[str, Sequence[str]]
     """The kind of a notice; the first rule that holds decides.  With ``rules``
     the patterns of the domain's own language apply as well."""
     has = lambda name, text: contains_any(text, pack[name])
+    like = lambda text, patterns: text.rlike("|".join(patterns))
     first: list[tuple[Column, str]] = [(has("result", title), "result")]
     if rules:
         head = F.concat(title, F.lit(" "), F.substring(detail, 1, 200))
         first += [
-            (head.rlike("作息|行事曆|辦公時間|暑假|寒假"), "information"),
-            (head.rlike("換算表|名額.{0,12}換算|排名.{0,12}換算"), "policy"),
-            (head.rlike("申辦流程|申請流程|作業流程|流程圖|說明會|座談會|宣導"), "information"),
-            (title.rlike("(?:將於|預計).{0,24}(?:公布|公告|上線)|尚未公布"), "information"),
-            (title.rlike("(?:行政)?契約書") & ~has("contract_context", title), "information"),
+            (like(head, CALENDAR), "information"),
+            (like(head, CONVERSION), "policy"),
+            (like(head, PROCESS), "information"),
+            (like(title, EXPECTED), "information"),
+            (like(title, CONTRACT) & ~has("contract_context", title), "information"),
             (title.endswith("辦法") & ~has("application", title), "policy"),
         ]
     later: list[tuple[Column, str]] = [(has("policy", title), "policy"), (has("information", title), "information")]
