@@ -282,7 +282,8 @@ def contract(states: DataFrame, expected: int) -> DataFrame:
 
 def byte_size(size: Column) -> Column:
     """Bytes as people read them."""
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.format_string("%.1f KiB", size / 1024)).otherwise(F.format_string("%.1f MiB", size / (1 << 20)))
+    shown = lambda n, unit: F.format_string(f"%.1f {unit}", F.bround(size / n, 1))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, shown(1024, "KiB")).otherwise(shown(1 << 20, "MiB"))
 
 
 def resource_line(status: Column, kind: Column, content_type: Column, size: Column, length: Column, fallback: Column) -> Column:
