@@ -68,8 +68,8 @@ def test_stages_against_plain_ones(spark):
     least = {}
     for group, (ident, *_) in zip(label := brute_alike(sets, True), rows, strict=True):
         least[group] = min((x for x in (least.get(group), ident) if x is not None), default=None)
-    stay = {least[g] for g in label}
-    assert full(seen["near_dedup"]) == full({"doc_id": r[0], "text": r[1]} for r in rows if r[0] in stay and (r[0] is not None or least[label[rows.index(r)]] is None))
+    stay = {r[0] for r, g in zip(rows, label, strict=True) if r[0] == least[g]}  # rows of one id, and those without, stay or go together
+    assert full(seen["near_dedup"]) == full({"doc_id": r[0], "text": r[1]} for r in rows if r[0] in stay)
 
     named = [(10**9 if r[0] is None else r[0], r[1]) for r in rows]
     distinct = [r for k, r in enumerate(named) if r[0] not in {x[0] for x in named[:k]}]
