@@ -6,8 +6,8 @@ kept.
 
 Defined results: each stage handles nulls, empty and very long texts, empty tables
 and repeated rows as its operator states, and keeps further columns of any name.
-Rows of one doc_id stay or go together in near-dedup; rows without one stay if
-their group has no doc_id at all.  ``n_chars`` is counted anew after passages
+Rows of one doc_id stay or go together in near-dedup, and so do those without one
+(they stay if one of them is like no row that has one).  ``n_chars`` is counted anew after passages
 went.  Mixing drops a tenth of the tokens by design (``MIX_SHARE``), and languages
 without a weight.
 """
