@@ -33,6 +33,11 @@ CYCLE = r"(?<!\d)(20\d{2}|1\d{2})\s*(?:學年度|年度)"
 FIELD = r"(?:本次)?(?:申請|報名|受理|收件|繳交|職涯輔導|輔導|活動|執行|服務|課程)(?:時間|期間|期限|截止|日期)"
 
 
+def let(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def segments(text: Column) -> Column:
     """The parts of a text by sentence ends and before time fields."""
     parts = F.split(F.regexp_replace(text, f"(?={FIELD})", "\n"), r"[。；;\n]")
@@ -51,8 +56,12 @@ def published_day(text: Column) -> Column:
 
 def _this_cycle(days: Column, published: Column, day=lambda x: x) -> Column:
     """Those of the publication's year or later, if there are any."""
-    later = F.filter(days, lambda d: F.year(day(d)) >= F.year(published))
-    return F.when(published.isNotNull() & (F.size(later) > 0), later).otherwise(days)
+
+    def kept(all_days: Column) -> Column:
+        later = F.filter(all_days, lambda d: F.year(day(d)) >= F.year(published))
+        return let(later, lambda some: F.when(published.isNotNull() & (F.size(some) > 0), some).otherwise(all_days))
+
+    return let(days, kept)
 
 
 def dates(segment: Column, published: Column) -> Column:
@@ -98,7 +107,11 @@ def yearless(text: Column) -> Column:
 def application_period(text: Column, published: Column, as_of: Column) -> Column:
     """A struct: start, deadline and status on a day."""
     text, published, as_of = F.coalesce(text, F.lit("")), published_day(published), as_of.cast("date")
-    begin, end, cycles = start(text, published), deadline(text, published), cycle_years(text)
+    found = F.struct(start(text, published).alias("begin"), deadline(text, published).alias("end"), cycle_years(text).alias("cycles"))
+    return let(found, lambda x: _period(text, published, as_of, x["begin"], x["end"], x["cycles"]))
+
+
+def _period(text: Column, published: Column, as_of: Column, begin: Column, end: Column, cycles: Column) -> Column:
     this_year, minguo = F.year(as_of).cast("string"), (F.year(as_of) - 1911).cast("string")
     current = F.contains(text, this_year) | F.contains(text, F.concat(minguo, F.lit("年"))) | F.contains(text, F.concat(minguo, F.lit("學年度")))
     status = cascade(
