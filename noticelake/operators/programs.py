@@ -280,14 +280,15 @@ def contract(states: DataFrame, expected: int) -> DataFrame:
     return out.withColumn("passed", (F.size("failed") == 0) & (F.col("total") == expected))
 
 
-def byte_size(size: Column) -> Column:
-    """Bytes as people read them."""
+def byte_size(size: Column, largest: str = "MiB") -> Column:
+    """Bytes as people read them, in units up to the ``largest`` (KiB or MiB)."""
     shown = lambda n, unit: F.format_string(f"%.1f {unit}", F.bround(size / n, 1))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, shown(1024, "KiB")).otherwise(shown(1 << 20, "MiB"))
+    less = size < 1 << 20 if largest == "MiB" else F.lit(True)
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(less, shown(1024, "KiB")).otherwise(shown(1 << 20, "MiB"))
 
 
-def resource_line(status: Column, kind: Column, content_type: Column, size: Column, length: Column, fallback: Column) -> Column:
-    """One resource on a line."""
+def resource_line(status: Column, kind: Column, content_type: Column, size: Column, length: Column, fallback: Column, largest: str = "MiB") -> Column:
+    """One resource on a line; ``largest`` as in :func:`byte_size`."""
     said = F.when(F.coalesce(content_type, F.lit("")) != "", content_type).otherwise("unknown")
     text = F.concat(F.lit("文字 "), F.coalesce(length, F.lit(0)).cast("string"), F.lit(" 字"), F.when(fallback, " | SSL 相容重試").otherwise(""))
-    return F.concat_ws(" | ", status, kind, said, byte_size(size), text)
+    return F.concat_ws(" | ", status, kind, said, byte_size(size, largest), text)
