@@ -38,6 +38,8 @@ TITLES = [
     "An address 31.115.6.18 of some host",
     "Address 115.10.20.5 and 10.0.115.7",
     "Number 164.68.18 or 115-13-40 alone",
+    "On 115年13月40日 or",
+    "On 2025年2月30日 or",
     "x",
     "",
 ]
@@ -49,7 +51,7 @@ def has_titles(spark, name, at):
     equals_its_sql(spark, name, at, "pages", {"page_id": ids, "url": [f"https://site{k}.example/p" for k in range(len(html))], "html": html})
 
 
-@pytest.mark.parametrize("name", ["q63_dated_headings", "q61_marked_anchors", "q13_main_text_length"])
+@pytest.mark.parametrize("name", ["q63_dated_headings", "q61_marked_anchors", "q13_main_text_length", "q60_detail_links"])
 def test_titles_with_cut_references_and_addresses(spark, tmp_path, name):
     has_titles(spark, name, tmp_path)
 
