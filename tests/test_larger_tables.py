@@ -51,7 +51,7 @@ def has_titles(spark, name, at):
     equals_its_sql(spark, name, at, "pages", {"page_id": ids, "url": [f"https://site{k}.example/p" for k in range(len(html))], "html": html})
 
 
-@pytest.mark.parametrize("name", ["q63_dated_headings", "q61_marked_anchors", "q13_main_text_length", "q44_listing_rows", "q58_undated_table", "q59_linked_news", "q60_detail_links"])
+@pytest.mark.parametrize("name", ["q63_dated_headings", "q61_marked_anchors", "q13_main_text_length", "q44_listing_rows", "q58_undated_table", "q59_linked_news", "q62_relevant_rows", "q60_detail_links"])
 def test_titles_with_cut_references_and_addresses(spark, tmp_path, name):
     has_titles(spark, name, tmp_path)
 
